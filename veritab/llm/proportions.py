@@ -87,7 +87,8 @@ def plan(records: DataFrame, configs: DataFrame, targets: DataFrame) -> DataFram
     The need is the larger of min_rows and share x size, null counting as 0, not
     rounded; ``unmet`` marks the labels whose need exceeds the supply.  Of each
     config_id the latest row holds; of repeated targets of a label the larger
-    values hold.  Labels of the revision without a target may fill the sample up.
+    values hold.  Records are drawn from the labels named in targets only; a label
+    whose share is null fills the sample up.
     A config without targets or with a null size isn't planned; an empty revision
     draws nothing and leaves every positive need unmet.
     """
@@ -95,14 +96,9 @@ def plan(records: DataFrame, configs: DataFrame, targets: DataFrame) -> DataFram
     configs = holding(configs).select("config_id", "dataset_revision", "seed", size.cast("long").alias("size"))
     targets = targets.where("label is not null").groupBy("config_id", "label").agg(F.max("target_share").alias("share"), F.max("min_rows").alias("min_rows"))
     supply = pool(records).groupBy("dataset_revision", "label").agg(F.count(F.lit(1)).alias("n"))
-    # signatures: those with a target, and those the revision offers besides
-    wanted = configs.join(targets.select("config_id").distinct(), "config_id", "left_semi")
-    offered = wanted.join(supply, "dataset_revision").select("config_id", "label", "n")
-    rows = wanted.join(
-        targets.select("*", F.lit(True).alias("aimed")).join(offered, ["config_id", "label"], "full"), "config_id"
-    ).select("config_id", "label", "seed", "size", "share", "min_rows", F.coalesce("n", F.lit(0)).alias("supply"), F.coalesce("aimed", F.lit(False)).alias("aimed"))
+    rows = configs.join(targets, "config_id").join(supply, ["dataset_revision", "label"], "left").withColumn("supply", F.coalesce("n", F.lit(0)))
     need = F.greatest(F.coalesce("min_rows", F.lit(0)).cast("double"), F.coalesce("share", F.lit(0.0)) * 4 * (F.col("size") / 4))
-    rows = rows.withColumn("need", need).withColumn("unmet", F.col("aimed") & (F.col("need") > F.col("supply")))
+    rows = rows.withColumn("need", need).withColumn("unmet", F.col("need") > F.col("supply"))
     return rows.groupBy("config_id").applyInPandas(_plan, REPORT)
 
 
