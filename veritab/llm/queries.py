@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import copies, frozen, proportions
+from veritab.llm import copies, encode, frozen, packing, proportions
 from veritab.session import written
 
 
@@ -55,8 +55,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frozen.lost_members(_table(spark, sf_dir, "sample_member"), _table(spark, sf_dir, "example"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of each document."""
+    return encode.token_ids(_table(spark, sf_dir, "documents"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each part of each document."""
+    spec = _table(spark, sf_dir, "pack_spec").orderBy("spec_id").first()
+    sizes = encode.token_counts(_table(spark, sf_dir, "documents"), encode.tokenizer_path(spec["tokenizer"]))
+    return packing.packed(written(sizes, "sizes"), spec["capacity_tokens"])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that must be split."""
+    return packing.split_documents(p7_containers(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p3_collapsed, p3_found, p4_found, p4_sample)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p3_collapsed, p3_found, p4_found, p4_sample, p6_ids, p7_containers, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
