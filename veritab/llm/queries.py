@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import copies, encode, frozen, packing, proportions
+from veritab.llm import copies, encode, frozen, neardup, packing, proportions
 from veritab.session import written
 
 
@@ -34,6 +34,11 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportions.sample(*tables, written(proportions.plan(*tables), "proportions"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of records whose texts are near."""
+    return neardup.near_pairs(_table(spark, sf_dir, "example"))
+
+
 def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record of each set of copies with the number of records it stands for."""
     return copies.collapsed(copies.copy_sets(_table(spark, sf_dir, "example")))
@@ -73,7 +78,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p3_collapsed, p3_found, p4_found, p4_sample, p6_ids, p7_containers, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p3_collapsed, p3_found, p4_found, p4_sample, p6_ids, p7_containers, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
