@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import copies, encode, frozen, neardup, packing, proportions
+from veritab.llm import copies, encode, frozen, neardup, packing, proportions, spans
 from veritab.session import written
 
 
@@ -77,8 +77,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.split_documents(p7_containers(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of each document that stand in another one too."""
+    return spans.shared_spans(_table(spark, sf_dir, "documents"))
+
+
+def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of characters shared with others."""
+    documents = _table(spark, sf_dir, "documents")
+    return spans.shared_characters(documents, spans.shared_spans(documents))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p3_collapsed, p3_found, p4_found, p4_sample, p6_ids, p7_containers, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p3_collapsed, p3_found, p4_found, p4_sample, p6_ids, p7_containers, p7_found, p8_found, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
