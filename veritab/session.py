@@ -63,8 +63,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     What has been written survives the loss of any executor, and values such as
     generated ids stay as they are however often later stages are run again.
+    The table goes when the driver ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    jvm = spark._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
