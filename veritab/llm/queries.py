@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import copies, encode, frozen, neardup, packing, proportions, spans
+from veritab.llm import copies, encode, frozen, neardup, overlap, packing, proportions, spans
 from veritab.session import written
 
 
@@ -60,6 +60,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frozen.lost_members(_table(spark, sf_dir, "sample_member"), _table(spark, sf_dir, "example"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judged rows that repeat a train row."""
+    return overlap.found(overlap.overlaps(_table(spark, sf_dir, "split_member")))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps counted per split and source."""
+    members = _table(spark, sf_dir, "split_member")
+    return overlap.report(overlap.overlaps(members), members)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of each document."""
     return encode.token_ids(_table(spark, sf_dir, "documents"))
@@ -89,7 +100,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p3_collapsed, p3_found, p4_found, p4_sample, p6_ids, p7_containers, p7_found, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p3_collapsed, p3_found, p4_found, p4_sample, p5_found, p5_report, p6_ids, p7_containers, p7_found, p8_found, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
