@@ -1,11 +1,21 @@
-"""Text as columns: normal form, ids, codes, messages."""
+"""Text as columns: normal form, ids, class codes, messages."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: The white space that normalisation collapses, as a Java class.
-SPACE = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The white space that normalisation collapses, for Java and RE2.
+SPACE = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+#: The classes, their codes, and the prompt that names them.
+CLASS_NAMES = ("World", "Sports", "Business", "Sci/Tech")
+CLASS_CODES = ("A", "B", "C", "D")
+SYSTEM_PROMPT = (
+    "Classify the news article into exactly one topic. "
+    "Allowed codes: A=World; B=Sports; C=Business; D=Sci/Tech. "
+    "Return one code only: A, B, C, or D. Do not explain."
+)
+USER_PROMPT = ("Article:\n", "\n\nTopic code:")
 
 
 def normalize_text(text: Column) -> Column:
@@ -34,3 +44,81 @@ def order_hash(seed: Column | int, key: Column) -> Column:
     """The hash that orders the rows of a class: SHA-256 of seed, NUL, key."""
     seed = F.lit(seed) if isinstance(seed, int) else seed
     return F.sha2(F.concat(seed.cast("string"), F.lit("\0"), key), 256)
+
+
+def hash_fraction(digest: Column) -> Column:
+    """A hex digest's first 52 bits as a number in [0, 1), in the digest's order."""
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def _lookup(values: tuple, keys: tuple, key: Column) -> Column:
+    pairs = [F.lit(x) for k, v in zip(keys, values) for x in (k, v)]
+    return F.try_element_at(F.create_map(*pairs), key)
+
+
+def code_of(label: Column) -> Column:
+    """The code of a label; null outside 0..3."""
+    return _lookup(CLASS_CODES, (0, 1, 2, 3), label.cast("int"))
+
+
+def name_of(label: Column) -> Column:
+    return _lookup(CLASS_NAMES, (0, 1, 2, 3), label.cast("int"))
+
+
+def parse_code(answer: Column) -> Column:
+    """The label an answer names: white space, then quotes and backticks are stripped.
+
+    Anything but one bare code in either case gives null, as does null.
+    """
+    bare = F.regexp_replace(answer, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    bare = F.upper(F.regexp_replace(bare, "^[\"'`]+|[\"'`]+$", ""))
+    return _lookup((0, 1, 2, 3), CLASS_CODES, bare)
+
+
+def _message(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
+def user_content(text: Column) -> Column:
+    return F.concat(F.lit(USER_PROMPT[0]), normalize_text(text), F.lit(USER_PROMPT[1]))
+
+
+def inference_messages(text: Column) -> Column:
+    """System and user message of a text; the user content is null for a null text."""
+    return F.array(_message("system", F.lit(SYSTEM_PROMPT)), _message("user", user_content(text)))
+
+
+def training_messages(text: Column, label: Column) -> Column:
+    """The inference messages and the answer; null for a label outside 0..3."""
+    whole = F.concat(inference_messages(text), F.array(_message("assistant", code_of(label))))
+    return F.when(code_of(label).isNotNull(), whole)
+
+
+def render_chat(messages: Column, opening: str = "<|{role}|>\n", closing: str = "\n", answer_role: str | None = "assistant") -> Column:
+    """Messages as one string by a template: ``opening`` with the role, content, ``closing``.
+
+    With ``answer_role`` the string ends with that role's opening, which asks for
+    an answer; without, it ends after the last message.
+    """
+    before, _, after = opening.partition("{role}")
+    one = F.transform(messages, lambda m: F.concat(F.lit(before), m["role"], F.lit(after), m["content"], F.lit(closing)))
+    text = F.array_join(one, "")
+    return F.concat(text, F.lit(before + answer_role + after)) if answer_role else text
+
+
+def scientific(log10: Column) -> Column:
+    """10^x as mantissa and exponent, for x far below what a double holds.
+
+    The mantissa has 12 significant digits without trailing zeros.
+    """
+    exponent = F.floor(log10)
+    mantissa = F.round(F.pow(F.lit(10.0), log10 - exponent), 11)
+    return F.concat(F.regexp_replace(mantissa.cast("string"), r"\.0$", ""), F.lit("e"), exponent.cast("string"))
+
+
+def parameter_text(trainable: Column, percent: Column, total: Column) -> Column:
+    """``1,234 (0.1234% of 1,000,000)``; null where the numbers contradict each other."""
+    exact = F.lit(100.0) * trainable / total
+    fits = (trainable > 0) & (total >= trainable) & (percent > 0) & (F.abs(percent - exact) <= 1e-6 * F.greatest(F.abs(percent), F.abs(exact)))
+    text = F.concat(F.format_number(trainable, 0), F.lit(" ("), F.format_string("%.4f", percent.cast("double")), F.lit("% of "), F.format_number(total, 0), F.lit(")"))
+    return F.when(fits, text)

@@ -30,26 +30,26 @@ def bottom_k(rows: DataFrame, groups: list[str], k: str, size: str, hashed: str,
     margin = F.lit(SIGMAS) * F.sqrt(wanted + 1) + F.lit(10.0)
     low, high = (wanted - margin) / F.col(size), (wanted + margin) / F.col(size)
     zoned = rows.where(wanted > 0).withColumn(
-        "_zone", F.when(F.col(hashed) < low, 0).when(F.col(hashed) <= high, 1).otherwise(2)
+        "_bk_zone", F.when(F.col(hashed) < low, 0).when(F.col(hashed) <= high, 1).otherwise(2)
     )
     counts = zoned.groupBy(*groups).agg(
-        F.sum((F.col("_zone") == 0).cast("long")).alias("_sure"),
-        F.sum((F.col("_zone") == 1).cast("long")).alias("_near"),
-        F.max(wanted).cast("long").alias("_k"),
+        F.sum((F.col("_bk_zone") == 0).cast("long")).alias("_bk_sure"),
+        F.sum((F.col("_bk_zone") == 1).cast("long")).alias("_bk_near"),
+        F.max(wanted).cast("long").alias("_bk_k"),
     )
-    counts = counts.withColumn("_whole", (F.col("_sure") > F.col("_k")) | (F.col("_sure") + F.col("_near") < F.col("_k")))
-    counts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_sure", "_k", "_whole")
+    counts = counts.withColumn("_bk_whole", (F.col("_bk_sure") > F.col("_bk_k")) | (F.col("_bk_sure") + F.col("_bk_near") < F.col("_bk_k")))
+    counts = counts.select(*[F.col(g).alias(f"_bk_g{i}") for i, g in enumerate(groups)], "_bk_sure", "_bk_k", "_bk_whole")
     same = None
     for i, g in enumerate(groups):
-        one = zoned[g].eqNullSafe(counts[f"_g{i}"])
+        one = zoned[g].eqNullSafe(counts[f"_bk_g{i}"])
         same = one if same is None else same & one
     joined = zoned.join(counts, same)
-    sure = joined.where(~F.col("_whole") & (F.col("_zone") == 0)).select(*rows.columns)
+    sure = joined.where(~F.col("_bk_whole") & (F.col("_bk_zone") == 0)).select(*rows.columns)
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy(hashed, tie))
     ranked = (
-        joined.where(F.col("_whole") | (F.col("_zone") == 1))
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= F.when(F.col("_whole"), F.col("_k")).otherwise(F.col("_k") - F.col("_sure")))
+        joined.where(F.col("_bk_whole") | (F.col("_bk_zone") == 1))
+        .withColumn("_bk_rank", rank)
+        .where(F.col("_bk_rank") <= F.when(F.col("_bk_whole"), F.col("_bk_k")).otherwise(F.col("_bk_k") - F.col("_bk_sure")))
         .select(*rows.columns)
     )
     return sure.unionByName(ranked)
