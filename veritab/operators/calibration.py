@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veritab.functions.scores import log_loss
 
@@ -40,12 +41,41 @@ def reachable(low: float, high: float, levels: int, tolerance: float) -> set[flo
     return {c, d} | reachable(low, d, levels - 1, tolerance) | reachable(c, high, levels - 1, tolerance)
 
 
+def _losses(logits: DataFrame, by: list[str], temperatures: Column) -> DataFrame:
+    """(*by, temperature, nll): the mean log loss at each of an array of temperatures."""
+    each = logits.withColumn("temperature", F.explode(temperatures))
+    return each.groupBy(*by, "temperature").agg(F.avg(log_loss(F.col("z"), F.col("label"), F.col("temperature"))).alias("nll"))
+
+
 def nll_curve(logits: DataFrame, temperatures: list[float], by: list[str] | None = None) -> DataFrame:
-    """(*by, temperature, nll): the mean log loss at each temperature, in one pass."""
-    by = by or []
-    means = logits.groupBy(*by).agg(*[F.avg(log_loss(F.col("z"), F.col("label"), t)).alias(f"t{i}") for i, t in enumerate(temperatures)])
-    long_ = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("temperature"), F.col(f"t{i}").alias("nll")) for i, t in enumerate(temperatures)]))
-    return means.select(*by, long_.alias("x")).select(*by, "x.*")
+    """(*by, temperature, nll): the mean log loss at each temperature, in one pass.
+
+    The points are unfolded next to each row and reduced before the shuffle, so
+    only one row for each group and point is moved.
+    """
+    return _losses(logits, by or [], F.array(*[F.lit(float(t)) for t in temperatures]))
+
+
+def _searched(losses: Callable[[dict], dict], names: list, search: Search, levels: int) -> dict:
+    """Golden section for each name; ``losses`` maps points of each name to their loss."""
+    search.checked()
+    state = {name: (search.low, search.high) for name in names}
+
+    def open_(bounds: tuple[float, float]) -> bool:
+        return bounds[1] - bounds[0] > search.tolerance
+
+    while unfinished := [n for n in names if open_(state[n])]:
+        loss = losses({n: sorted(reachable(*state[n], levels, search.tolerance)) for n in unfinished})
+        for n in unfinished:
+            for _ in range(levels):
+                if open_((low_high := state[n])):
+                    (low, high), (c, d) = low_high, probes(*low_high)
+                    state[n] = (low, d) if loss[n, c] < loss[n, d] else (c, high)
+    fitted = {n: (low + high) / 2.0 for n, (low, high) in state.items()}
+    for n, t in fitted.items():
+        if not search.low + 10 * search.tolerance < t < search.high - 10 * search.tolerance:
+            raise ValueError(f"the search ended at its bound ({t:.4f} in [{search.low}, {search.high}]); the optimum lies outside")
+    return fitted
 
 
 def fit_temperature(logits: DataFrame, search: Search = Search(), levels: int = LEVELS) -> float:
@@ -55,25 +85,23 @@ def fit_temperature(logits: DataFrame, search: Search = Search(), levels: int =
     fit to the default tolerance reads the rows 6 times instead of 48.  A minimum
     within ten tolerances of a bound, and an empty input, are refused.
     """
-    low, high, tolerance = search.checked()
-    while high - low > tolerance:
-        points = sorted(reachable(low, high, levels, tolerance))
-        row = logits.agg(*[F.avg(log_loss(F.col("z"), F.col("label"), t)).alias(f"t{i}") for i, t in enumerate(points)]).first()
-        if row[0] is None:
-            raise ValueError("a temperature can't be fitted to no rows")
-        loss = dict(zip(points, row))
-        for _ in range(levels):
-            if high - low <= tolerance:
-                break
-            c, d = probes(low, high)
-            low, high = (low, d) if loss[c] < loss[d] else (c, high)
-    fitted = (low + high) / 2.0
-    if not search.low + 10 * tolerance < fitted < search.high - 10 * tolerance:
-        raise ValueError(f"the search ended at its bound ({fitted:.4f} in [{search.low}, {search.high}]); the optimum lies outside")
-    return fitted
+    return fit_temperatures(logits.withColumn("_one", F.lit(0)), "_one", search, levels)[0]
 
 
-def fit_temperatures(logits: DataFrame, by: str, search: Search = Search(), levels: int = LEVELS) -> dict[str, float]:
-    """fit_temperature() for each value of ``by``, a column of few values such as the system."""
-    values = sorted(r[0] for r in logits.select(by).distinct().collect())
-    return {v: fit_temperature(logits.where(F.col(by) == v), search, levels) for v in values}
+def fit_temperatures(logits: DataFrame, by: str, search: Search = Search(), levels: int = LEVELS) -> dict:
+    """fit_temperature() for each value of ``by``, a column of few values such as the system.
+
+    All values share the passes over the rows.
+    """
+    names = sorted(r[0] for r in logits.where(F.col(by).isNotNull()).select(by).distinct().collect())
+    if not names:
+        raise ValueError("a temperature can't be fitted to no rows")
+
+    def losses(points: dict) -> dict:
+        arrays = None
+        for name, own in points.items():
+            one = F.array(*[F.lit(t) for t in own])
+            arrays = F.when(F.col(by) == name, one) if arrays is None else arrays.when(F.col(by) == name, one)
+        return {(r[0], r[1]): r[2] for r in _losses(logits, [by], arrays).collect()}
+
+    return _searched(losses, names, search, levels)
