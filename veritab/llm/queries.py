@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import copies, encode, frozen, neardup, overlap, packing, proportions, spans
+from veritab.llm import copies, encode, frozen, neardup, oracles, overlap, packing, proportions, spans
 from veritab.session import written
 
 
@@ -104,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
