@@ -24,7 +24,8 @@ def sha256_file(path: str | Path) -> str:
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, sha256) of all files under a folder, paths relative to it.
 
-    Files are read and hashed by the cluster, each as one value (below 2 GB).
+    Files are read and hashed by the cluster, each as one value (below 2 GB).  The
+    reader skips empty files; they are added from the listing.
     """
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
@@ -32,7 +33,20 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     # the reader gives absolute URIs; keep what follows the folder's own path
     plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     start = F.lit(len("/" + base.split(":", 1)[-1].strip("/")) + 2) if base.startswith("/") or ":" in base else F.locate(marker, plain) + len(marker)
-    return files.select(plain.substr(start, F.lit(1 << 20)).alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+    empty = spark.createDataFrame([(p,) for p in _empty_files(spark, base)], "path string")
+    found = files.select("path", "length", F.sha2("content", 256).alias("sha256")).unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.sha2(F.lit(b""), 256).alias("sha256")))
+    return found.select(plain.substr(start, F.lit(1 << 20)).alias("path"), "length", "sha256")
+
+
+def _empty_files(spark: SparkSession, root: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toString())
+    return out
 
 
 def local_manifest(root: str | Path) -> dict:
