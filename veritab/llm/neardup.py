@@ -21,8 +21,8 @@ from veritab.session import written
 
 WORDS = 3
 SIMILARITY = (3, 5)
-RECALL = 0.995
-MOST_BANDS = 40
+RECALL = 0.999
+MOST_BANDS = 50
 CROWD = 32
 #: One class in so many is looked at to find crowded bands; those with at least
 #: HOT of them there go the exact way at once.  The list has at most MOST_HOT bands.
