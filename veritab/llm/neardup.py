@@ -48,38 +48,44 @@ def banding(similarity: float, recall: float = RECALL, most_bands: int = MOST_BA
     return best
 
 
-def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], list, list, list]]:
-    """Rows of WORDS words or more: (row_ids, class, k1, k2, texts)."""
+def _classed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[bytes], list, list, list]]:
+    """Rows of ``n`` words or more: (row_ids, class, k1, k2, texts)."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in textcodes.chunks(texts):
             own = texts[a:b]
             hashes, offsets = textcodes.words(own)
-            enough = np.flatnonzero(np.diff(offsets) >= WORDS).tolist()
+            enough = np.flatnonzero(np.diff(offsets) >= n).tolist()
             keys, ones = textcodes.word_keys(hashes, offsets), textcodes.letter_keys(own)
             twos = textcodes.field_keys(own)
             yield [ids[a + i] for i in enough], [keys[i] + (twos[i] or b"") for i in enough], [ones[i] for i in enough], [twos[i] for i in enough], [own[i] for i in enough]
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, keys, _, _, _ in _classed(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.binary())], ["row_id", "class"])
+def _members(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, keys, _, _, _ in _classed(batches, n):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.binary())], ["row_id", "class"])
+
+    return run
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, keys, ones, twos, texts in _classed(batches):
-        once = list({k: i for i, k in enumerate(keys)}.values())
-        columns = [[c[i] for i in once] for c in (keys, ones, twos, texts)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.binary(), pa.string()))], ["class", "k1", "k2", "text"])
+def _classes(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, ones, twos, texts in _classed(batches, n):
+            once = list({k: i for i, k in enumerate(keys)}.values())
+            columns = [[c[i] for i in once] for c in (keys, ones, twos, texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.binary(), pa.string()))], ["class", "k1", "k2", "text"])
+
+    return run
 
 
-def sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return textcodes.distinct_per_text(*textcodes.shingles(*textcodes.words(texts), WORDS))
+def sets(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    return textcodes.distinct_per_text(*textcodes.shingles(*textcodes.words(texts), n))
 
 
-def bands_of(texts: list[str], bands: int, rows: int) -> np.ndarray:
+def bands_of(texts: list[str], bands: int, rows: int, n: int = WORDS) -> np.ndarray:
     """The 64-bit hash of each band (rows) of each text (columns); each text has n-grams."""
-    h, offsets = textcodes.shingles(*textcodes.words(texts), WORDS)
+    h, offsets = textcodes.shingles(*textcodes.words(texts), n)
     # two independent 32-bit halves; all arithmetic is modulo 2^32
     x = (h >> _U64(32)).astype(np.uint32)
     rng = np.random.default_rng(20240607)
@@ -99,17 +105,17 @@ def bands_of(texts: list[str], bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _sampled_bands(bands: int, rows: int):
+def _sampled_bands(bands: int, rows: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in textcodes.chunks(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(bands_of(texts[a:b], bands, rows).ravel().view(np.int64))], ["band"])
+                yield pa.RecordBatch.from_arrays([pa.array(bands_of(texts[a:b], bands, rows, n).ravel().view(np.int64))], ["band"])
 
     return run
 
 
-def _packed(bands: int, rows: int, parts: int, hot: np.ndarray):
+def _packed(bands: int, rows: int, n: int, parts: int, hot: np.ndarray):
     """Chunks (part, ids, records): a record is 48 bits of the band's hash and the 16-bit place in ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +123,7 @@ def _packed(bands: int, rows: int, parts: int, hot: np.ndarray):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in textcodes.chunks(texts):
                 own = ids[a:b]
-                keys = bands_of(texts[a:b], bands, rows)
+                keys = bands_of(texts[a:b], bands, rows, n)
                 crowded = np.isin(keys, hot)
                 place = np.broadcast_to(np.arange(b - a, dtype=_U64), keys.shape)
                 records = (keys & ~_U64(0xFFFF)) | place
@@ -173,18 +179,22 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(np.minimum(a, b)[s : s + (1 << 16)], np.maximum(a, b)[s : s + (1 << 16)])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(similarity: tuple[int, int], n: int):
     """(gram, id) of the n-grams of each set's prefix in the order of their hashes."""
-    up, down = SIMILARITY
-    for batch in batches:
-        ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        for a, b in textcodes.chunks(texts):
-            h, offsets = sets(texts[a:b])
-            n = np.diff(offsets)
-            take = n - -(-n * up // down) + 1
-            rank = np.arange(len(h)) - np.repeat(offsets[:-1], n)
-            keep = rank < np.repeat(take, n)
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(np.repeat(ids[a:b], n)[keep])], ["gram", "id"])
+    up, down = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a, b in textcodes.chunks(texts):
+                h, offsets = sets(texts[a:b], n)
+                size = np.diff(offsets)
+                take = size - -(-size * up // down) + 1
+                rank = np.arange(len(h)) - np.repeat(offsets[:-1], size)
+                keep = rank < np.repeat(take, size)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(np.repeat(ids[a:b], size)[keep])], ["gram", "id"])
+
+    return run
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +209,14 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def crowded_pairs(ids: DataFrame, classes: DataFrame) -> DataFrame:
+def crowded_pairs(ids: DataFrame, classes: DataFrame, similarity: tuple[int, int] = SIMILARITY, n: int = WORDS) -> DataFrame:
     """Candidates (a, b) among the crowded classes by a prefix filter: none is lost.
 
     Two sets of similarity s share an n-gram of the prefixes of n - ceil(s n) + 1
     n-grams under any common order.  A prefix n-gram's group is cut into blocks of
     about BLOCK classes, and each pair of blocks is a row of its own.
     """
-    grams = classes.select("id", "text").join(ids, "id", "left_semi").mapInArrow(_prefixes, "gram bigint, id bigint")
+    grams = classes.select("id", "text").join(ids, "id", "left_semi").mapInArrow(_prefixes(similarity, n), "gram bigint, id bigint")
     grams = written(grams, "near-prefixes")
     blocks = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = grams.join(blocks, "gram").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -219,12 +229,12 @@ def crowded_pairs(ids: DataFrame, classes: DataFrame) -> DataFrame:
     return within.unionByName(across).mapInArrow(_block_pairs, "a bigint, b bigint")
 
 
-def near(left: list[str], right: list[str]) -> np.ndarray:
+def near(left: list[str], right: list[str], similarity: tuple[int, int] = SIMILARITY, n: int = WORDS) -> np.ndarray:
     """Whether the n-gram sets of each two texts have the similarity."""
-    up, down = SIMILARITY
-    (x, p), (y, q) = sets(left), sets(right)
-    n = np.arange(len(left))
-    pair = np.concatenate([np.repeat(n, np.diff(p)), np.repeat(n, np.diff(q))])
+    up, down = similarity
+    (x, p), (y, q) = sets(left, n), sets(right, n)
+    each = np.arange(len(left))
+    pair = np.concatenate([np.repeat(each, np.diff(p)), np.repeat(each, np.diff(q))])
     h = np.concatenate([x, y])
     order = np.lexsort((h, pair))
     h, pair = h[order], pair[order]
@@ -233,46 +243,52 @@ def near(left: list[str], right: list[str]) -> np.ndarray:
     return (both * down >= either * up) & (both > 0)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for a, b in textcodes.chunks(left, textcodes.BATCH_CHARS // 2):
-            keep = pa.array(near(left[a:b], right[a:b]))
-            yield batch.slice(a, b - a).select([0, 1]).filter(keep)
+def _verified(similarity: tuple[int, int], n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for a, b in textcodes.chunks(left, textcodes.BATCH_CHARS // 2):
+                keep = pa.array(near(left[a:b], right[a:b], similarity, n))
+                yield batch.slice(a, b - a).select([0, 1]).filter(keep)
+
+    return run
 
 
-def class_pairs(records: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def class_pairs(records: DataFrame, similarity: tuple[int, int] = SIMILARITY, n: int = WORDS, copies: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): near classes as (class_a, class_b), and (row_id, class).
 
     ``records`` needs row_id and text.  A class is one sequence of words together
     with the fields of a tagged text; copies of one class have the same n-grams.
-    Texts of fewer than three words, null texts and null row_ids belong to none.
-    Pairs whose letters and digits or whose fields agree are copies, not near.
+    Texts of fewer than ``n`` words, null texts and null row_ids belong to none.
+    Pairs whose letters and digits or whose fields agree are copies, not near, and
+    come out only with ``copies``.
     """
     spark = records.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands, rows = banding(similarity[0] / similarity[1])
     records = records.where(F.col("row_id").isNotNull() & F.col("text").isNotNull()).select("row_id", "text")
-    members = written(records.mapInArrow(_members, MEMBERS), "near-members")
-    kept = records.mapInArrow(_classes, CLASSES).groupBy("class").agg(*[F.first(c).alias(c) for c in ("k1", "k2", "text")])
+    members = written(records.mapInArrow(_members(n), MEMBERS), "near-members")
+    kept = records.mapInArrow(_classes(n), CLASSES).groupBy("class").agg(*[F.first(c).alias(c) for c in ("k1", "k2", "text")])
     classes = written(kept.withColumn("id", F.monotonically_increasing_id()), "near-classes")
     texts = classes.select("id", "text")
 
-    sampled = texts.where(F.pmod(F.xxhash64("id"), F.lit(PART)) == 0).mapInArrow(_sampled_bands(bands, rows), "band bigint")
+    sampled = texts.where(F.pmod(F.xxhash64("id"), F.lit(PART)) == 0).mapInArrow(_sampled_bands(bands, rows, n), "band bigint")
     hot = sampled.groupBy("band").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "band").limit(MOST_HOT).select("band")
     hot = np.array([r.band for r in hot.collect()], np.int64).view(_U64)
 
-    chunks = texts.mapInArrow(_packed(bands, rows, parts, hot), "part int, ids binary, records binary")
+    chunks = texts.mapInArrow(_packed(bands, rows, n, parts, hot), "part int, ids binary, records binary")
     out = written(chunks.repartitionById(parts, "part").mapInArrow(_pairs, "a bigint, b bigint"), "near-candidates")
     candidates = out.where("b is not null")
     crowded = out.where("b is null").select(F.col("a").alias("id")).distinct()
     if not crowded.isEmpty():
-        candidates = candidates.unionByName(crowded_pairs(crowded, classes))
+        candidates = candidates.unionByName(crowded_pairs(crowded, classes, similarity, n))
     candidates = candidates.distinct()
     one = classes.select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.col("k1").alias("k1_a"), F.col("k2").alias("k2_a"))
     two = classes.select(F.col("id").alias("b"), F.col("text").alias("text_b"), F.col("k1").alias("k1_b"), F.col("k2").alias("k2_b"))
-    both = candidates.join(one, "a").join(two, "b").where("k1_a <> k1_b and (k2_a is null or k2_b is null or k2_a <> k2_b)")
-    named = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a bigint, b bigint")
+    both = candidates.join(one, "a").join(two, "b")
+    if not copies:
+        both = both.where("k1_a <> k1_b and (k2_a is null or k2_b is null or k2_a <> k2_b)")
+    named = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(similarity, n), "a bigint, b bigint")
     named = written(named, "near-verified")
     of = classes.select("id", "class")
     return (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import copies, encode, frozen, neardup, oracles, overlap, packing, proportions, spans
+from veritab.llm import copies, encode, frozen, neardup, oracles, overlap, packing, paragraphs, proportions, spans
 from veritab.session import written
 
 
@@ -93,6 +93,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(_table(spark, sf_dir, "documents"))
 
 
+def p8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate paragraphs, by component."""
+    return paragraphs.duplicate_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's number of characters shared with others."""
     documents = _table(spark, sf_dir, "documents")
@@ -100,7 +105,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p3_collapsed, p3_found, p4_found, p4_sample, p5_found, p5_report, p6_ids, p7_containers, p7_found, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p3_collapsed, p3_found, p4_found, p4_sample, p5_found, p5_report, p6_ids, p7_containers, p7_found, p8_found, p8_paragraphs, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
