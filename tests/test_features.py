@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import features as X
 from veritab.operators import digests, parameters, tokens
-from veritab.sources.scorer import HashTokenizer, code_ids, flat_ids, hash_scorer, left_padded, prompt_ids, score
+from veritab.sources.scorer import Collator, HashTokenizer, code_ids, flat_ids, hash_scorer, left_padded, prompt_ids, score
 
 
 def arrays(spark, rows):
@@ -137,3 +137,15 @@ def test_tokenizer_and_scorer(spark):
     assert one == two and len(one) == 9
     with pytest.raises(Exception, match="more than 5"):
         score(prompts, hash_scorer, longest=5).collect()
+
+
+def test_collator():
+    a = {"input_ids": [1, 20, 30, 10, 2], "attention_mask": [1] * 5, "labels": [-100, -100, -100, 10, 2]}
+    b = {"input_ids": [1, 20, 2], "attention_mask": [1] * 3, "labels": [-100, -100, 2]}
+    out = Collator(2)([a, b])
+    assert out["input_ids"][1] == [1, 20, 2, 2, 2] and out["attention_mask"][1] == [1, 1, 1, 0, 0] and out["labels"][1] == [-100, -100, 2, -100, -100]
+    for bad in ([], [a | {"labels": [1]}]):
+        with pytest.raises(ValueError):
+            Collator(2)(bad)
+    with pytest.raises(ValueError):
+        Collator(None)

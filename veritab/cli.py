@@ -67,7 +67,7 @@ def main(arguments: list[str] | None = None) -> int:
         config.write(root / "configs/experiment.json")
         out: dict = {"output": str(root / "configs/experiment.json")}
     elif args.command == "compare-runs":
-        out = compare.compare_runs(read_json(args.baseline), read_json(args.variant), set(args.expect_change))
+        out = compare.compare_files(args.baseline, args.variant, set(args.expect_change))
         if args.strict:
             compare.require_controlled(out)
     elif args.command == "model-card":

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from veritab.functions.features import IGNORED
+
 
 class Tokenizer(Protocol):
     eos_token_id: int
@@ -73,6 +75,23 @@ def left_padded(rows: list[list[int]], pad: int) -> tuple[list[list[int]], list[
     return [[pad] * (width - len(r)) + r for r in rows], [[0] * (width - len(r)) + [1] * len(r) for r in rows]
 
 
+class Collator:
+    """Pads a batch of features on the right; labels get what the loss ignores."""
+
+    def __init__(self, pad_token_id: int | None):
+        if pad_token_id is None:
+            raise ValueError("a tokenizer needs a pad token")
+        self.fillers = {"input_ids": int(pad_token_id), "attention_mask": 0, "labels": IGNORED}
+
+    def __call__(self, features: list[dict[str, list[int]]]) -> dict[str, list[list[int]]]:
+        if not features:
+            raise ValueError("an empty batch can't be padded")
+        if any(len({len(f[k]) for k in self.fillers}) > 1 for f in features):
+            raise ValueError("ids, mask and labels of a row must be equally long")
+        width = max(len(f["input_ids"]) for f in features)
+        return {k: [f[k] + [filler] * (width - len(f[k])) for f in features] for k, filler in self.fillers.items()}
+
+
 def score(prompts: DataFrame, scorer: Scorer, pad: int = 2, batch: int = 4, longest: int = 512) -> DataFrame:
     """(pos, z) of (pos, ids): batches are padded left and scored at their last place.
 
