@@ -254,7 +254,7 @@ def _verified(similarity: tuple[int, int], n: int):
     return run
 
 
-def class_pairs(records: DataFrame, similarity: tuple[int, int] = SIMILARITY, n: int = WORDS, copies: bool = False) -> tuple[DataFrame, DataFrame]:
+def class_pairs(records: DataFrame, similarity: tuple[int, int] = SIMILARITY, n: int = WORDS, copies: bool = False, most_bands: int = MOST_BANDS) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): near classes as (class_a, class_b), and (row_id, class).
 
     ``records`` needs row_id and text.  A class is one sequence of words together
@@ -265,7 +265,7 @@ def class_pairs(records: DataFrame, similarity: tuple[int, int] = SIMILARITY, n:
     """
     spark = records.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bands, rows = banding(similarity[0] / similarity[1])
+    bands, rows = banding(similarity[0] / similarity[1], most_bands=most_bands)
     records = records.where(F.col("row_id").isNotNull() & F.col("text").isNotNull()).select("row_id", "text")
     members = written(records.mapInArrow(_members(n), MEMBERS), "near-members")
     kept = records.mapInArrow(_classes(n), CLASSES).groupBy("class").agg(*[F.first(c).alias(c) for c in ("k1", "k2", "text")])
