@@ -18,11 +18,32 @@ def divided(z: Column, temperature: Column | float) -> Column:
     return F.transform(z, lambda x: (x.cast("float").cast("double") / t).cast("float").cast("double"))
 
 
-def softmax(z: Column, temperature: Column | float | None = None) -> Column:
-    """Probabilities in double; the largest score is subtracted first."""
-    values = F.transform(z, lambda x: x.cast("double")) if temperature is None else divided(z, temperature)
-    powers = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+def _powers(z: Column, temperature: Column | float | None, classes: int) -> list[Column]:
+    """exp(score - largest score) of each class, in double, without arrays.
+
+    Written out for each class, so that a pass over the rows stays in generated
+    code; a missing score makes the sums of all null.
+    """
+    values = [F.get(z, F.lit(k)).cast("float").cast("double") for k in range(classes)]
+    if temperature is not None:
+        t = (F.lit(float(temperature)) if isinstance(temperature, (int, float)) else temperature).cast("float").cast("double")
+        values = [(v / t).cast("float").cast("double") for v in values]
+    top = F.greatest(*values)
+    return [F.exp(v - top) for v in values]
+
+
+def probabilities(z: Column, temperature: Column | float | None = None, classes: int = CLASSES) -> list[Column]:
+    """The softmax of the scores as one column for each class."""
+    powers = _powers(z, temperature, classes)
+    total = powers[0]
+    for p in powers[1:]:
+        total = total + p
+    return [p / total for p in powers]
+
+
+def softmax(z: Column, temperature: Column | float | None = None, classes: int = CLASSES) -> Column:
+    """Probabilities in double as an array; the largest score is subtracted first."""
+    return F.array(*probabilities(z, temperature, classes))
 
 
 def argmax(values: Column) -> Column:
@@ -30,23 +51,21 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def log_loss(z: Column, label: Column, temperature: Column | float = 1.0, classes: int = CLASSES) -> Column:
-    """-ln of the true class's probability, cut to [1e-12, 1].
+def first_of(columns: list[Column], value: Column) -> Column:
+    """The number of the first column that has the value."""
+    out = F.when(columns[0] == value, 0)
+    for k, c in enumerate(columns[1:], 1):
+        out = out.when(c == value, k)
+    return out.cast("int")
 
-    Written out without arrays, so that a pass over many temperatures stays in
-    generated code.
-    """
-    t = (F.lit(float(temperature)) if isinstance(temperature, (int, float)) else temperature).cast("float").cast("double")
-    each = [(z[k].cast("float").cast("double") / t).cast("float").cast("double") for k in range(classes)]
-    top = F.greatest(*each)
-    powers = [F.exp(x - top) for x in each]
-    total = powers[0]
-    for p in powers[1:]:
-        total = total + p
-    true = powers[classes - 1]
+
+def log_loss(z: Column, label: Column, temperature: Column | float = 1.0, classes: int = CLASSES) -> Column:
+    """-ln of the true class's probability, cut to [1e-12, 1]."""
+    each = probabilities(z, temperature, classes)
+    true = each[classes - 1]
     for k in range(classes - 2, -1, -1):
-        true = F.when(label == k, powers[k]).otherwise(true)
-    return -F.ln(F.greatest(F.lit(LEAST_PROBABILITY), F.least(F.lit(1.0), true / total)))
+        true = F.when(label == k, each[k]).otherwise(true)
+    return -F.ln(F.greatest(F.lit(LEAST_PROBABILITY), F.least(F.lit(1.0), true)))
 
 
 def edges(bins: int) -> list[float]:
@@ -56,9 +75,15 @@ def edges(bins: int) -> list[float]:
 
 
 def reliability_bin(confidence: Column, bins: int = 15) -> Column:
-    """The right-closed bin of a confidence; the first is closed on the left too."""
+    """The right-closed bin of a confidence; the first is closed on the left too.
+
+    The guess from the product is moved by at most one bin, so that it agrees with
+    the borders as doubles.
+    """
     borders = F.array(*[F.lit(x) for x in edges(bins)])
-    return F.greatest(F.lit(0), F.size(F.filter(borders, lambda e: e < confidence)) - 1)
+    guess = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.ceil(confidence * bins).cast("int") - 1))
+    low, high = F.get(borders, guess), F.get(borders, guess + 1)
+    return F.when((guess > 0) & (confidence <= low), guess - 1).when((guess < bins - 1) & (confidence > high), guess + 1).otherwise(guess)
 
 
 def valid_scores(z: Column, classes: int = CLASSES) -> Column:

@@ -52,7 +52,7 @@ def identified(rows: DataFrame, split: str = "train", texts: bool = False) -> Da
         row_id(split, F.col("source_index"), F.col("label"), F.col("text")).alias("row_id"), content_id(F.col("text")).alias("content_id"),
         F.col("label").cast("int").alias("label"), F.col("source_index").cast("bigint").alias("source_index"), *(["text"] if texts else []),
     )
-    return made.dropDuplicates(["row_id"])
+    return made.distinct()  # all columns follow from the row_id, so this hashes where dropDuplicates would sort
 
 
 def strict(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veritab.functions.scores import CLASSES, argmax, edges, log_loss, reliability_bin, softmax
+from veritab.functions.scores import CLASSES, edges, first_of, log_loss, probabilities, reliability_bin
+
+BINS = 15
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -82,9 +84,11 @@ def macro_f1_of_cells(cells: DataFrame, by: list[str], label: str, pred: str, we
 
 def scored(logits: DataFrame, temperature: Column | float | None = 1.0) -> DataFrame:
     """``logits`` with p, pred, confidence, correct and loss at a temperature."""
-    out = logits.withColumn("p", softmax(F.col("z"), temperature))
-    out = out.withColumn("pred", argmax(F.col("p"))).withColumn("confidence", F.array_max("p"))
-    return out.withColumn("correct", F.col("pred") == F.col("label")).withColumn("loss", log_loss(F.col("z"), F.col("label"), 1.0 if temperature is None else temperature))
+    each = probabilities(F.col("z"), temperature)
+    top = F.greatest(*each)
+    return logits.withColumns(
+        {"p": F.array(*each), "pred": first_of(each, top), "confidence": top, "correct": first_of(each, top) == F.col("label"), "loss": log_loss(F.col("z"), F.col("label"), 1.0 if temperature is None else temperature)}
+    )
 
 
 def reliability(scores: DataFrame, by: list[str] | None = None, bins: int = 15) -> DataFrame:
@@ -118,18 +122,19 @@ def calibration_error(bins_: DataFrame, by: list[str] | None = None) -> DataFram
 def evaluation_block(logits: DataFrame, by: list[str], temperature: Column | float = 1.0) -> DataFrame:
     """(*by, rows, accuracy, macro_f1, invalid_rate, nll, ece): one row for each group.
 
-    The scores are reduced once to cells of label, prediction and bin; all numbers
-    are formulas over those at most 16 x 15 cells.
+    One scan and one aggregation: the counts of each class and the gap of each bin
+    are sums of their own, reduced before the shuffle to one row for each group.
     """
     rows = scored(logits, temperature).withColumn("bin", reliability_bin(F.col("confidence")))
-    cells = rows.groupBy(*by, "label", "pred", "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss"), F.sum("confidence").alias("confidence"), F.sum(F.col("correct").cast("double")).alias("correct")
-    )
-    bins_ = cells.groupBy(*by, "bin").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), (F.sum("confidence") - F.sum("correct")).alias("gap"))
-    calibration = bins_.groupBy(*by).agg((F.sum("loss") / F.sum("n")).alias("nll"), (F.sum(F.abs("gap")) / F.sum("n")).alias("ece"))
-    sums = [F.sum("n").alias("rows"), F.sum("correct").alias("correct")]
+    right = F.col("correct").cast("double")
+    sums = [F.count(F.lit(1)).alias("rows"), F.sum("loss").alias("loss"), F.sum(right).alias("right")]
     for k in range(CLASSES):
-        sums += [F.sum(F.when(c, F.col("n")).otherwise(0)).alias(n) for n, c in _counts(k).items()]
+        sums += [F.count_if(c).alias(n) for n, c in _counts(k).items()]
+    sums += [F.sum(F.when(F.col("bin") == b, F.col("confidence") - right)).alias(f"gap{b}") for b in range(BINS)]
+    wide = rows.groupBy(*by).agg(*sums).where("rows > 0")
     mean = (_f1(0) + _f1(1) + _f1(2) + _f1(3)) / F.lit(float(CLASSES))
-    main = cells.groupBy(*by).agg(*sums).select(*by, "rows", (F.col("correct") / F.col("rows")).alias("accuracy"), mean.alias("macro_f1"), F.lit(0.0).alias("invalid_rate"))
-    return main.join(calibration, by) if by else main.join(calibration)
+    gaps = F.lit(0.0)
+    for b in range(BINS):
+        gaps = gaps + F.abs(F.coalesce(f"gap{b}", F.lit(0.0)))
+    n = F.col("rows")
+    return wide.select(*by, "rows", (F.col("right") / n).alias("accuracy"), mean.alias("macro_f1"), F.lit(0.0).alias("invalid_rate"), (F.col("loss") / n).alias("nll"), (gaps / n).alias("ece"))

@@ -42,9 +42,9 @@ def development_split(rows: DataFrame, config: DataConfig) -> DataFrame:
     hashed = hashed.withColumn("_u", hash_fraction(F.col("_order")))
     sizes = class_counts(rows).select(F.col("label").alias("_label"), F.col("rows").alias("_size"))
     short = F.concat(F.lit("class "), F.col("_label").cast("string"), F.lit(" has "), F.col("_size").cast("string"), F.lit(f" rows; {need} required"))
-    # checked where the classes are counted, so a class without any row is noticed too
-    sizes = sizes.withColumn("_k", F.when(F.col("_size") < need, F.raise_error(short).cast("bigint")).otherwise(F.lit(need).cast("bigint")))
-    sized = hashed.join(F.broadcast(sizes), F.col("label") == F.col("_label"), "right").drop("_label")
+    # one row over the four counts, so a class without any row is noticed too
+    enough = sizes.agg(F.max(F.when(F.col("_size") < need, F.raise_error(short).cast("bigint")).otherwise(F.lit(need).cast("bigint"))).alias("_k"))
+    sized = hashed.join(F.broadcast(sizes), F.col("label") == F.col("_label")).drop("_label").join(F.broadcast(enough))
     first = bottom_k(sized, ["label"], "_k", "_size", "_u", "_order")
     ranked = first.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("_order", "row_id")) - 1)
     r = F.col("_r")
