@@ -48,30 +48,30 @@ def banding(similarity: float, recall: float = RECALL, most_bands: int = MOST_BA
     return best
 
 
-def _classed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[bytes], list, list, list]]:
-    """Rows of ``n`` words or more: (row_ids, class, k1, k2, texts)."""
+def _classed(batches: Iterator[pa.RecordBatch], n: int, copies: bool) -> Iterator[tuple[list, list[bytes], list, list, list]]:
+    """Rows of ``n`` words or more: (row_ids, class, k1, k2, texts); with ``copies``, classes are of words only."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in textcodes.chunks(texts):
             own = texts[a:b]
             hashes, offsets = textcodes.words(own)
             enough = np.flatnonzero(np.diff(offsets) >= n).tolist()
-            keys, ones = textcodes.word_keys(hashes, offsets), textcodes.letter_keys(own)
-            twos = textcodes.field_keys(own)
+            keys = textcodes.word_keys(hashes, offsets)
+            ones, twos = ([None] * len(own),) * 2 if copies else (textcodes.letter_keys(own), textcodes.field_keys(own))
             yield [ids[a + i] for i in enough], [keys[i] + (twos[i] or b"") for i in enough], [ones[i] for i in enough], [twos[i] for i in enough], [own[i] for i in enough]
 
 
-def _members(n: int):
+def _members(n: int, copies: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, _, _, _ in _classed(batches, n):
+        for ids, keys, _, _, _ in _classed(batches, n, copies):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.binary())], ["row_id", "class"])
 
     return run
 
 
-def _classes(n: int):
+def _classes(n: int, copies: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, keys, ones, twos, texts in _classed(batches, n):
+        for _, keys, ones, twos, texts in _classed(batches, n, copies):
             once = list({k: i for i, k in enumerate(keys)}.values())
             columns = [[c[i] for i in once] for c in (keys, ones, twos, texts)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.binary(), pa.string()))], ["class", "k1", "k2", "text"])
@@ -267,8 +267,8 @@ def class_pairs(records: DataFrame, similarity: tuple[int, int] = SIMILARITY, n:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands, rows = banding(similarity[0] / similarity[1], most_bands=most_bands)
     records = records.where(F.col("row_id").isNotNull() & F.col("text").isNotNull()).select("row_id", "text")
-    members = written(records.mapInArrow(_members(n), MEMBERS), "near-members")
-    kept = records.mapInArrow(_classes(n), CLASSES).groupBy("class").agg(*[F.first(c).alias(c) for c in ("k1", "k2", "text")])
+    members = written(records.mapInArrow(_members(n, copies), MEMBERS), "near-members")
+    kept = records.mapInArrow(_classes(n, copies), CLASSES).groupBy("class").agg(*[F.first(c).alias(c) for c in ("k1", "k2", "text")])
     classes = written(kept.withColumn("id", F.monotonically_increasing_id()), "near-classes")
     texts = classes.select("id", "text")
 
