@@ -8,6 +8,9 @@ from pathlib import Path
 from typing import Any
 
 
+# The names and defaults of the settings, as reports store them.
+
+
 @dataclass(frozen=True)
 class DataConfig:
     dataset_name: str = "newsroom/topics4"
@@ -33,7 +36,6 @@ class LoraConfig:
     alpha: int = 32
     dropout: float = 0.05
     bias: str = "none"
-    #: The projections an adapter is attached to.
     target_modules: tuple[str, ...] = ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj")
 
 

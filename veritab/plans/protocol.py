@@ -29,7 +29,7 @@ ADAPTER = "adapters/selected"
 #: The protocol of published intervals, and what confirms the test.
 RESAMPLES, SEED, ALPHA = 2_000, 73, 0.05
 CONFIRMATION = "i-am-running-the-single-final-test"
-SCOPE = "sampling uncertainty of the single stored test run; training variance is not measured here"
+SCOPE = "how far the one stored test run would move with another sample of rows; other training runs may differ by more"
 #: A card may be put beside an adapter without touching its digest.
 MUTABLE = frozenset({"README.md"})
 SYSTEMS = ("base", "tuned")
@@ -65,7 +65,7 @@ def training_report(config: ExperimentConfig, root: str | Path, labels: DataFram
         "schema_version": 1, "created_at_utc": utc_now(), "model": config.model_name, "model_revision": config.model_revision, "config": config.to_dict(), "test_evaluated": False,
         "train_rows": train_rows, "validation_rows": labels.count(), "validation_label_sha256": label_digest(labels), "base_validation_metrics": evaluation_block(rows),
         "base_validation_logits": save_logits(base, root, "outputs/logits/base-validation.parquet"), "epochs": records,
-        "selection": {"rule": "max validation macro_f1; exact tie resolved to the earlier epoch", "selected_epoch": best["epoch"], "selected_adapter_dir": ADAPTER, "selected_adapter_hashes": local_manifest(Path(root) / ADAPTER)},
+        "selection": {"rule": "highest validation macro_f1, of equal ones the earliest epoch", "selected_epoch": best["epoch"], "selected_adapter_dir": ADAPTER, "selected_adapter_hashes": local_manifest(Path(root) / ADAPTER)},
         **(extra or {}),
     }
     create_json(report, Path(root) / TRAINING)
@@ -241,7 +241,7 @@ def mcnemar_record(fixed: int, broken: int, spark: SparkSession) -> dict:
         raise ValueError("counts must be integers of at least 0")
     row = paired.mcnemar(spark.createDataFrame([(fixed, broken)], "fixed bigint, broken bigint")).first()
     out = {"discordant_pairs": row["discordant"], "chi_square": row["chi_square"], "log10_p_value": row["log10_p"], "p_value": row["p"], "p_value_scientific": row["p_text"]}
-    return out if fixed + broken else out | {"note": "the systems never disagreed on correctness"}
+    return out if fixed + broken else out | {"note": "no row was right for one system only"}
 
 
 def interval_blocks(spark: SparkSession, rows: dict[str, DataFrame], resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA, mode: str = "exact") -> dict:
@@ -265,7 +265,7 @@ def interval_blocks(spark: SparkSession, rows: dict[str, DataFrame], resamples:
         low, high = resample.percentile_interval(drawn[name].to_numpy(), alpha)
         out[name] = {"delta" if name == "delta" else "macro_f1": value, "ci_lower": low, "ci_upper": high, "ci_width": high - low}
     out["resamples_without_improvement"] = int((drawn["delta"] <= 0).sum())
-    out["settings"] = {"resamples": resamples, "seed": seed, "alpha": alpha, "method": "paired percentile bootstrap over test rows", "draws": mode}
+    out["settings"] = {"resamples": resamples, "seed": seed, "alpha": alpha, "method": "percentiles of paired resamples of the test rows", "draws": mode}
     c = paired.paired_counts(pairs).first()
     counts = {"rows": c["rows"], "disagreements": c["disagreements"], "tuned_fixed_base_error": c["fixed"], "tuned_broke_base_success": c["broken"], "both_correct": c["both_right"], "both_wrong": c["both_wrong"]}
     return {"bootstrap": out, "paired": counts | {"mcnemar": mcnemar_record(c["fixed"], c["broken"], spark)}}
