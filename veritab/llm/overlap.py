@@ -12,7 +12,6 @@ evaluation texts found there are verified on full n-gram sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,8 +26,8 @@ from veritab.llm.neardup import SIMILARITY, WORDS, sets
 from veritab.session import new_path, written
 
 TRAIN, JUDGED = "train", ("validation", "test")
-#: Words of a shard; its index takes about 25 bytes a word.
-SHARD_WORDS = 2_000_000
+#: Words of a shard; a loaded index takes about 50 bytes a word.
+SHARD_WORDS = 1_000_000
 #: Shards that one job streams through.
 ROUND = 16
 #: Occurrences located at once.
@@ -262,7 +261,6 @@ def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": key[0], "name": [*WordIndex.NAMES, "lengths", "classes"], "blob": values})
 
 
-@lru_cache(1)
 def _shard(path: str, shard: int) -> tuple[list[bytes], list[bytes]]:
     where = f"{path}/shard={shard}"
     if "://" in where or where.startswith("file:"):
