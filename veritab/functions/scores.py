@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 CLASSES = 4
 LEAST_PROBABILITY = 1e-12
@@ -41,6 +41,32 @@ def probabilities(z: Column, temperature: Column | float | None = None, classes:
     return [p / total for p in powers]
 
 
+def with_probabilities(rows: DataFrame, temperature: Column | float | None = None, classes: int = CLASSES) -> tuple[DataFrame, list[Column]]:
+    """``rows`` with the softmax of z in columns _p0, _p1, ..., and those columns.
+
+    One step after the other, so that the generated code computes each value once
+    and stays small.
+    """
+    t = None if temperature is None else (F.lit(float(temperature)) if isinstance(temperature, (int, float)) else temperature).cast("float").cast("double")
+    each = range(classes)
+    score = [F.get("z", F.lit(k)).cast("float").cast("double") for k in each]
+    out = rows.withColumns({f"_v{k}": s if t is None else (s / t).cast("float").cast("double") for k, s in enumerate(score)})
+    out = out.withColumn("_t", F.greatest(*[F.col(f"_v{k}") for k in each]))
+    out = out.withColumns({f"_e{k}": F.exp(F.col(f"_v{k}") - F.col("_t")) for k in each})
+    out = out.withColumn("_s", sum((F.col(f"_e{k}") for k in range(1, classes)), F.col("_e0")))
+    out = out.withColumns({f"_p{k}": F.col(f"_e{k}") / F.col("_s") for k in each})
+    kept = [*rows.columns, *(f"_p{k}" for k in each)]
+    return out.select(*kept), [F.col(f"_p{k}") for k in each]
+
+
+def loss_of(each: list[Column], label: Column) -> Column:
+    """-ln of the true class's probability, cut to [1e-12, 1]."""
+    true = each[-1]
+    for k in range(len(each) - 2, -1, -1):
+        true = F.when(label == k, each[k]).otherwise(true)
+    return -F.ln(F.greatest(F.lit(LEAST_PROBABILITY), F.least(F.lit(1.0), true)))
+
+
 def softmax(z: Column, temperature: Column | float | None = None, classes: int = CLASSES) -> Column:
     """Probabilities in double as an array; the largest score is subtracted first."""
     return F.array(*probabilities(z, temperature, classes))
@@ -61,11 +87,7 @@ def first_of(columns: list[Column], value: Column) -> Column:
 
 def log_loss(z: Column, label: Column, temperature: Column | float = 1.0, classes: int = CLASSES) -> Column:
     """-ln of the true class's probability, cut to [1e-12, 1]."""
-    each = probabilities(z, temperature, classes)
-    true = each[classes - 1]
-    for k in range(classes - 2, -1, -1):
-        true = F.when(label == k, each[k]).otherwise(true)
-    return -F.ln(F.greatest(F.lit(LEAST_PROBABILITY), F.least(F.lit(1.0), true)))
+    return loss_of(probabilities(z, temperature, classes), label)
 
 
 def edges(bins: int) -> list[float]:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veritab.functions.scores import log_loss
+from veritab.functions.scores import loss_of, with_probabilities
 
 INVERSE_PHI = (math.sqrt(5.0) - 1.0) / 2.0
 #: Steps of the search decided by one pass over the rows.
@@ -43,8 +43,8 @@ def reachable(low: float, high: float, levels: int, tolerance: float) -> set[flo
 
 def _losses(logits: DataFrame, by: list[str], temperatures: Column) -> DataFrame:
     """(*by, temperature, nll): the mean log loss at each of an array of temperatures."""
-    each = logits.withColumn("temperature", F.explode(temperatures))
-    return each.groupBy(*by, "temperature").agg(F.avg(log_loss(F.col("z"), F.col("label"), F.col("temperature"))).alias("nll"))
+    each, p = with_probabilities(logits.withColumn("temperature", F.explode(temperatures)), F.col("temperature"))
+    return each.withColumn("_loss", loss_of(p, F.col("label"))).groupBy(*by, "temperature").agg(F.avg("_loss").alias("nll"))
 
 
 def nll_curve(logits: DataFrame, temperatures: list[float], by: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veritab.functions.scores import CLASSES, edges, first_of, log_loss, probabilities, reliability_bin
+from veritab.functions.scores import CLASSES, edges, first_of, loss_of, reliability_bin, with_probabilities
 
 BINS = 15
 
@@ -84,11 +84,14 @@ def macro_f1_of_cells(cells: DataFrame, by: list[str], label: str, pred: str, we
 
 def scored(logits: DataFrame, temperature: Column | float | None = 1.0) -> DataFrame:
     """``logits`` with p, pred, confidence, correct and loss at a temperature."""
-    each = probabilities(F.col("z"), temperature)
-    top = F.greatest(*each)
-    return logits.withColumns(
-        {"p": F.array(*each), "pred": first_of(each, top), "confidence": top, "correct": first_of(each, top) == F.col("label"), "loss": log_loss(F.col("z"), F.col("label"), 1.0 if temperature is None else temperature)}
-    )
+    made = ("p", "pred", "confidence", "correct", "loss")
+    wide, each = with_probabilities(logits, temperature)
+    wide = wide.withColumn("_top", F.greatest(*each))
+    wide = wide.withColumn("_pred", first_of(each, F.col("_top")))
+    return wide.select(
+        *[c for c in logits.columns if c not in made], F.array(*each).alias("p"), F.col("_pred").alias("pred"), F.col("_top").alias("confidence"),
+        (F.col("_pred") == F.col("label")).alias("correct"), loss_of(each, F.col("label")).alias("loss"),
+    )
 
 
 def reliability(scores: DataFrame, by: list[str] | None = None, bins: int = 15) -> DataFrame:
