@@ -50,9 +50,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frozen sample of each config."""
-    configs = proportions.holding(_table(spark, sf_dir, "data_config"))
-    return frozen.frozen_sample(_table(spark, sf_dir, "example"), configs)
+    """The frozen sample of each config; the month of the latest arrival is still open and waits."""
+    configs, records = proportions.holding(_table(spark, sf_dir, "data_config")), _table(spark, sf_dir, "example")
+    return frozen.frozen_sample(records, configs, closed_at=frozen.latest_arrival(records))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
