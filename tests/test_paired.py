@@ -1,9 +1,11 @@
+import hashlib
 import math
 
 import numpy as np
 import pytest
 
 from veritab.operators import paired, resample, selection
+from veritab.plans import catalog
 
 
 def pairs(spark, labels, base, tuned):
@@ -86,6 +88,20 @@ def test_bootstrap_modes(spark):
         assert 0.4 < other["delta"].std() / exact["delta"].std() < 2.2
 
 
+def test_bootstrap_ci_takes_all_resamples(spark, small):
+    rows = np.array(sorted(map(tuple, catalog._pairs(spark, small).select("pos", "label", "base", "tuned").collect())))
+    n = len(rows)
+    assert (rows[:, 0] == np.arange(n)).all()
+    cell = (rows[:, 1] * 4 + rows[:, 2]) * 4 + rows[:, 3]
+    drawn = [[int(hashlib.sha256(f"73\0{b}\0{j}".encode()).hexdigest()[:15], 16) % n for j in range(n)] for b in range(2000)]
+    values = resample._values(np.stack([np.bincount(cell[d], minlength=64) for d in drawn]))
+    found = {r["system"]: r for r in catalog.bootstrap_ci(spark, small).collect()}
+    for system in ("base", "tuned", "delta"):
+        low, high = resample.percentile_interval(values[system].to_numpy())
+        assert found[system]["ci_lower"] == pytest.approx(low, abs=2e-8) and found[system]["ci_upper"] == pytest.approx(high, abs=2e-8)
+    assert found["delta"]["no_improvement"] == (values["delta"] <= 0).sum()
+
+
 def test_identical_systems(spark):
     df = pairs(spark, [0, 1, 2, 3] * 5, [0, 1, 2, 0] * 5, [0, 1, 2, 0] * 5)
     out = resample.exact_resamples(df, 200).toPandas()

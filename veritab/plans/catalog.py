@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 PLACES = 8
-RESAMPLES = 200
+RESAMPLES = 2_000
 TEMPERATURES = [0.5, 0.67, 1.0, 1.5, 3.09]
 
 
