@@ -65,3 +65,15 @@ def test_duplicate_paragraphs(spark):
     found = {(r["doc_id"], r["start"]): (r["component"], r["removed"]) for r in paragraphs.duplicate_paragraphs(df).collect()}
     assert found == {n: (f"{r[0]}:{r[1]}", n != r) for n, r in truth.items()} and len(found) > 60
     assert paragraphs.duplicate_paragraphs(df.limit(0)).count() == 0
+
+
+def test_copies_of_short_paragraphs(spark):
+    docs = ["Thank you!\n---\none two three four\nalone", "thank  you\n***\none two three five", "x\n ---\nThank you.\nyou thank", "one two three four\n\n***\nSee a b c d e"]
+    df = spark.createDataFrame(list(enumerate(docs)), TEXT)
+    units = [(r["doc_id"], r["start"], r["text"]) for r in paragraphs.paragraphs(df).collect()]
+    groups = {}
+    for doc, start, text in sorted(units):
+        groups.setdefault(tuple(brute.words(text)) or text.strip(), []).append((doc, start))
+    truth = {m: (f"{g[0][0]}:{g[0][1]}", m != g[0]) for g in groups.values() if len(g) > 1 for m in g}
+    found = {(r["doc_id"], r["start"]): (r["component"], r["removed"]) for r in paragraphs.duplicate_paragraphs(df).collect()}
+    assert found == truth and len(found) == 9

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ def banding(similarity: float, recall: float = RECALL, most_bands: int = MOST_BA
 
 
 def _classed(batches: Iterator[pa.RecordBatch], n: int, copies: bool) -> Iterator[tuple[list, list[bytes], list, list, list]]:
-    """Rows of ``n`` words or more: (row_ids, class, k1, k2, texts); with ``copies``, classes are of words only."""
+    """Rows of ``n`` words or more: (row_ids, class, k1, k2, texts); with ``copies``, classes are of words only, of the bare text where it has none."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in textcodes.chunks(texts):
@@ -57,13 +58,16 @@ def _classed(batches: Iterator[pa.RecordBatch], n: int, copies: bool) -> Iterato
             hashes, offsets = textcodes.words(own)
             enough = np.flatnonzero(np.diff(offsets) >= n).tolist()
             keys = textcodes.word_keys(hashes, offsets)
+            if copies:
+                for i in np.flatnonzero(np.diff(offsets) == 0).tolist():
+                    keys[i] = b"\0" + blake2b(own[i].strip().encode("utf-8", "surrogatepass"), digest_size=16).digest()
             ones, twos = ([None] * len(own),) * 2 if copies else (textcodes.letter_keys(own), textcodes.field_keys(own))
             yield [ids[a + i] for i in enough], [keys[i] + (twos[i] or b"") for i in enough], [ones[i] for i in enough], [twos[i] for i in enough], [own[i] for i in enough]
 
 
 def _members(n: int, copies: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, _, _, _ in _classed(batches, n, copies):
+        for ids, keys, _, _, _ in _classed(batches, 0 if copies else n, copies):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.binary())], ["row_id", "class"])
 
     return run
@@ -259,8 +263,8 @@ def class_pairs(records: DataFrame, similarity: tuple[int, int] = SIMILARITY, n:
 
     ``records`` needs row_id and text.  A class is one sequence of words together
     with the fields of a tagged text; copies of one class have the same n-grams.
-    Texts of fewer than ``n`` words, null texts and null row_ids belong to none.
-    Pairs whose letters and digits or whose fields agree are copies, not near, and
+    Texts of fewer than ``n`` words, null texts and null row_ids belong to none;
+    with ``copies``, short texts have classes too, which are in no pair.  Pairs whose letters and digits or whose fields agree are copies, not near, and
     come out only with ``copies``.
     """
     spark = records.sparkSession

@@ -3,6 +3,7 @@
 Paragraphs of five words or more are banded by MinHash for a high recall at a
 Jaccard similarity of 0.8 of their five-word n-grams, colliding ones are joined
 and verified on the full sets, and each component keeps its first paragraph.
+Shorter paragraphs are grouped as copies.
 """
 
 from __future__ import annotations
@@ -66,9 +67,10 @@ def duplicate_paragraphs(documents: DataFrame) -> DataFrame:
     """(doc_id, start, stop, component, removed): the paragraphs that have a near one.
 
     ``component`` names the component's first paragraph as doc_id:start, which is
-    the one that isn't ``removed``.  Exact copies count as near.  Paragraphs of
-    fewer than five words, null texts and null doc_ids have none; places are code
-    points; an empty table gives no rows.
+    the one that isn't ``removed``.  Copies, which have the same words in order
+    or, without any word, the same characters, count as near; paragraphs of fewer
+    than five words have no other near ones.  Null texts and null doc_ids have none;
+    places are code points; an empty table gives no rows.
     """
     pairs, members = neardup.class_pairs(paragraphs(documents).select("row_id", "text"), SIMILARITY, WORDS, copies=True, most_bands=MOST_BANDS)
     found = components(pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
