@@ -114,3 +114,14 @@ def test_crossover_keeps_all_items():
         a, b = packing.evolved(sizes, [], 100, rng, 0)[:2]
         child = packing.crossed(a, b, sizes, 100, rng)
         assert (child >= 0).all() and np.bincount(child, sizes).max() <= 100
+
+
+@pytest.mark.parametrize("block_items", [50, 400])
+def test_blocks_share_their_last_containers(spark, block_items):
+    sizes = [int(x) for x in np.random.default_rng(5).integers(20, 300, 1500)]
+    rows = packed(spark, sizes, 1024, block_items=block_items).collect()
+    loads = check(rows, sizes, 1024)
+    # half a container for each of 30 or 4 blocks was lost
+    assert len(loads) <= -(-sum(sizes) // 1024) + 1
+    again = packed(spark, sizes, 1024, block_items=block_items).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, rows), key=str)

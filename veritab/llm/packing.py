@@ -4,7 +4,8 @@ The items are dealt into blocks of about two thousand by a hash; each block is
 evolved by several islands, which are tasks of their own, and between epochs each
 island sends its best solution to the next.  A crossover injects whole well-filled
 containers of one parent into the other, removes the containers that now hold
-duplicates, and best-fits what was displaced.
+duplicates, and best-fits what was displaced.  The least filled containers of all
+blocks are then packed again together, in rounds, until one block holds them.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 6
 CROSSOVERS = 24
+#: The least filled containers of a block that are packed again with those of others.
+SPARE = 16
 STATE = "block bigint, island int, docs array<bigint>, parts array<int>, sizes array<int>, genomes array<array<int>>"
-PLACED = "doc_id bigint, part int, n_tokens int, block bigint, bin int"
+PLACED = "doc_id bigint, part int, n_tokens int, block bigint, bin int, spare boolean"
 
 
 def best_fit(sizes: np.ndarray, items: np.ndarray, bins: np.ndarray, loads: list[int], capacity: int) -> list[int]:
@@ -128,11 +131,57 @@ def _best(capacity: int):
         rows = rows.sort_values("island")
         sizes = np.array(rows["sizes"].iloc[0], np.int64)
         bins = max((np.array(g[0], np.int64) for g in rows["genomes"]), key=lambda b: fitness(b, sizes, capacity))
-        return pd.DataFrame({"doc_id": rows["docs"].iloc[0], "part": rows["parts"].iloc[0], "n_tokens": sizes, "block": rows["block"].iloc[0], "bin": bins})
+        return pd.DataFrame({"doc_id": rows["docs"].iloc[0], "part": rows["parts"].iloc[0], "n_tokens": sizes, "block": rows["block"].iloc[0], "bin": bins, "spare": spare(bins, sizes, capacity)})
 
     return run
 
 
+def spare(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Whether each item is in one of the SPARE least filled containers and that has room."""
+    loads = np.bincount(bins, sizes)
+    least = np.argsort(loads, kind="stable")[:SPARE]
+    chosen = np.zeros(len(loads), bool)
+    chosen[least[loads[least] < capacity]] = True
+    return chosen[bins]
+
+
+def _again(capacity: int, seed: int, level: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "part"])
+        sizes = rows["n_tokens"].to_numpy(np.int64)
+        _, present = np.unique(rows["container"].to_numpy(), return_inverse=True)
+        # what there is takes part, so the number of containers can't grow
+        every = [present, *evolved(sizes, [present], capacity, np.random.default_rng([seed, level, int(key[0])]))]
+        bins = min(every, key=lambda b: (int(b.max()), -fitness(b, sizes, capacity)))
+        return pd.DataFrame({"doc_id": rows["doc_id"], "part": rows["part"], "n_tokens": sizes, "block": key[0], "bin": bins, "spare": spare(bins, sizes, capacity)})
+
+    return run
+
+
+def merged(placed: DataFrame, capacity: int, seed: int, block_items: int) -> DataFrame:
+    """``placed`` with the spare containers of all blocks packed again together.
+
+    Containers stay whole when they are dealt to blocks.  A block gets those of
+    four blocks at least, as many as make up ``block_items``, so what is left falls
+    to a quarter or less each round.
+    """
+    done, level = None, 0
+    while True:
+        level += 1
+        kept = placed.where("not spare").drop("spare")
+        done = kept if done is None else done.unionByName(kept)
+        left = placed.where("spare").drop("spare")
+        n, tokens = left.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+        if not n:
+            return done
+        blocks = max(1, min(-(-n // block_items), tokens // (4 * SPARE * capacity)))
+        left = left.withColumn("block", F.pmod(F.xxhash64("container", F.lit(seed)), F.lit(blocks)))
+        placed = written(left.groupBy("block").applyInPandas(_again(capacity, seed, level), PLACED), "packing")
+        placed = placed.select("doc_id", "part", "n_tokens", F.concat_ws(":", F.lit(f"again{level}"), "block", "bin").alias("container"), "spare")
+        if blocks == 1:
+            return done.unionByName(placed.drop("spare"))
+
+
 def packed(sizes: DataFrame, capacity: int, seed: int = 73, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """(doc_id, part, n_tokens, container): every text whole in one container.
 
@@ -165,7 +214,8 @@ def packed(sizes: DataFrame, capacity: int, seed: int = 73, block_items: int = B
         )
         state = written(state.unionByName(elite).groupBy("block", "island").applyInPandas(_go_on(capacity, seed, epoch), STATE), "packing")
     placed = state.groupBy("block").applyInPandas(_best(capacity), PLACED)
-    placed = placed.select("doc_id", "part", "n_tokens", F.concat_ws(":", "block", "bin").alias("container"))
+    placed = placed.select("doc_id", "part", "n_tokens", F.concat_ws(":", "block", "bin").alias("container"), "spare")
+    placed = merged(written(placed, "packing"), capacity, seed, block_items) if blocks > 1 else placed.drop("spare")
     return placed.unionByName(full).unionByName(none)
 
 
