@@ -51,6 +51,19 @@ def test_mcnemar_edges(spark):
         one(-1, 3)
 
 
+def test_mcnemar_groups_run_the_whole_test(spark, small):
+    lines = catalog.I.line_predictions(spark, small).select("label", "base", "tuned").collect()
+    found = {r["grp"]: r for r in catalog.QUERIES["mcnemar_groups"](spark, small).collect()}
+    assert set(found) == {r["label"] for r in lines} and len(found) == 4
+    for grp, r in found.items():
+        own = [x for x in lines if x["label"] == grp]
+        f, b = sum(x["base"] != grp == x["tuned"] for x in own), sum(x["base"] == grp != x["tuned"] for x in own)
+        log10_p = exact_log10(f, b)
+        assert r["discordant"] == f + b and r["chi_square"] == pytest.approx((abs(f - b) - 1) ** 2 / (f + b), abs=1e-8)
+        assert r["log10_p"] == pytest.approx(log10_p, abs=1e-8)
+        assert r["p"] == (pytest.approx(10**log10_p, rel=1e-9) if 10**log10_p > 0 else None)
+
+
 def test_pairing(spark):
     rows = spark.createDataFrame([("base", 1, 0, 2), ("tuned", 1, 0, 0), ("base", 2, 1, 1)], "system string, pos bigint, label int, pred int")
     assert [tuple(r) for r in paired.pair_systems(rows).collect()] == [(1, 0, 2, 0)]

@@ -475,6 +475,13 @@ def mcnemar_lines(spark, sf_dir):
     return paired.mcnemar(counts, ["grp"]).select("grp", "discordant")
 
 
+@query()
+def mcnemar_groups(spark, sf_dir):
+    """The whole test of each group whose discordant rows ``mcnemar_lines`` counts."""
+    counts = paired.paired_counts(I.line_predictions(spark, sf_dir).withColumn("grp", F.col("label").cast("bigint")), ["grp"])
+    return rounded(paired.mcnemar(counts, ["grp"]), "chi_square", "log10_p")
+
+
 DRAWS = """draws as (select i // n as resample, i % n as j, ('0x' || substr(sha256('73' || chr(0) || (i // n) || chr(0) || (i % n)), 1, 15))::bigint % n as drawn
   from (select unnest(range({count} * n)) as i, n from (select count(*) as n from embeddings)))"""
 
