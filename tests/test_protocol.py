@@ -1,7 +1,9 @@
 import copy
 import json
+import shutil
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,12 +44,23 @@ def evidence(spark, tmp_path_factory):
     extra = {"parameters": {"trainable_parameters": 200, "total_parameters": 10_200, "trainable_percent": 100 * 200 / 10_200}}
     protocol.training_report(config, root, validation, frame(spark, logits(rng, yv, 1.0)), {1: frame(spark, logits(rng, yv, 1.6)), 2: frame(spark, logits(rng, yv, 2.2))}, 40, extra)
     protocol.freeze_selection(spark, root, validation)
-    before_test = card.build_card(root)
+    before_test = card.build_card(root, spark=spark)
     z = {"base": logits(rng, yt, 1.0), "tuned": logits(rng, yt, 2.2)}
-    scorers = {s: (lambda rows, s=s: frame(rows.sparkSession, z[s])) for s in z}
+    scored = {s: spark.sparkContext.accumulator(0) for s in z}
+
+    def scorer(s):
+        def run(frames):
+            for f in frames:
+                scored[s].add(len(f))
+                yield pd.DataFrame({"pos": f["pos"], "z": [z[s][i] for i in f["pos"]]})
+
+        return lambda rows: rows.select("pos").mapInPandas(run, "pos bigint, z array<float>")
+
+    scorers = {s: scorer(s) for s in z}
     with pytest.raises(EvidenceError, match="confirmation"):
         protocol.run_final_test(spark, root, config, "yes", test, scorers)
-    protocol.run_final_test(spark, root, config, protocol.CONFIRMATION, test, scorers)
+    protocol.run_final_test(spark, root, config, protocol.CONFIRMATION, test, scorers, {"base": "a test"})
+    assert {s: a.value for s, a in scored.items()} == {"base": TEST, "tuned": TEST}, "a row was scored more than once"
     protocol.build_intervals(spark, root, test)
     return {"root": root, "validation": validation, "test": test, "config": config, "scorers": scorers, "card": before_test}
 
@@ -60,10 +73,13 @@ def test_everything_verifies(spark, evidence):
     out = verify(spark, evidence)
     assert out["training_report"]["verified"] and out["final_test_report"]["verified"] and out["test_intervals"]["verified"]
     assert protocol.verify_frozen(spark, evidence["root"], evidence["validation"])["test_evaluations_run"] == 1
-    text = card.build_card(evidence["root"], "somewhere")
-    assert "test (60 rows)" in text and "200 (1.9608% of 10,200)" in text
+    final = reports.read_json(evidence["root"] / protocol.FINAL)
+    assert final["scorers"] == {"base": "a test"} and final["split"] == "publisher test" and "packages" in final["environment"]
+    assert all(s["seconds"] > 0 and s["seconds_per_row"] == pytest.approx(s["seconds"] / TEST) for s in final["systems"].values())
+    text = card.build_card(evidence["root"], "somewhere", spark)
+    assert "test (60 rows)" in text and "200 (1.9608% of 10,200)" in text and "Quantisation: 4 bits, nf4" in text and "How the class is read" in text
     assert "No test result" in evidence["card"]
-    assert card.write_card(evidence["root"]).exists()
+    assert card.write_card(evidence["root"], spark=spark).exists()
 
 
 def test_what_may_happen_once(spark, evidence):
@@ -103,6 +119,8 @@ EDITS = [
     (protocol.FINAL, ("systems", "base", "metrics_after_temperature", "nll"), lambda v: v * 1.001),
     (protocol.FINAL, ("systems", "base", "prediction_sha256"), "0" * 64),
     (protocol.FINAL, ("delta", "macro_f1"), lambda v: v + 1e-6),
+    (protocol.FINAL, ("frozen_selection_sha256",), "0" * 64),
+    (protocol.FINAL, ("decoding",), "free text"),
     (protocol.FINAL, ("test_row_ids_sha256",), "0" * 64),
     (protocol.INTERVALS, ("bootstrap", "settings", "resamples"), 2000.0),
     (protocol.INTERVALS, ("scope",), "training variance too"),
@@ -115,7 +133,7 @@ EDITS = [
 def test_an_edited_leaf_is_refused(spark, evidence, report, keys, value):
     path = evidence["root"] / report
     original = path.read_text()
-    check = {protocol.TRAINING: lambda: protocol.verify_training(spark, evidence["root"], evidence["validation"]), protocol.FINAL: lambda: protocol.verify_final(spark, evidence["root"], evidence["test"]), protocol.INTERVALS: lambda: protocol.verify_intervals(spark, evidence["root"], evidence["test"])}[report]
+    check = {protocol.TRAINING: lambda: protocol.verify_training(spark, evidence["root"], evidence["validation"]), protocol.FINAL: lambda: protocol.verify_final(spark, evidence["root"], evidence["test"], evidence["validation"]), protocol.INTERVALS: lambda: protocol.verify_intervals(spark, evidence["root"], evidence["test"])}[report]
     try:
         edited(path, keys, value)
         with pytest.raises(EvidenceError):
@@ -127,7 +145,7 @@ def test_an_edited_leaf_is_refused(spark, evidence, report, keys, value):
 def test_reordered_rows_and_other_adapters_are_refused(spark, evidence):
     turned = evidence["test"].withColumn("pos", TEST - 1 - F.col("pos"))
     with pytest.raises(EvidenceError, match="test_row_ids|test_label"):
-        protocol.verify_final(spark, evidence["root"], turned)
+        protocol.verify_final(spark, evidence["root"], turned, evidence["validation"])
     weights = evidence["root"] / "adapters/selected/weights.bin"
     weights.write_bytes(b"changed")
     try:
@@ -151,18 +169,66 @@ def test_a_frozen_temperature_is_refitted(spark, evidence):
         path.write_text(original)
 
 
-def test_card_refuses_another_run(evidence):
+def test_a_temperature_tampered_in_both_files_is_refused(spark, evidence):
+    frozen_path, final_path = (evidence["root"] / p for p in (protocol.FROZEN, protocol.FINAL))
+    originals = frozen_path.read_text(), final_path.read_text()
+    moved = json.loads(originals[0])["validation"]["tuned"]["temperature"] * 1.1
+    rows = protocol.attached(protocol.load_logits(spark, json.loads(originals[1])["systems"]["tuned"]["logits"], evidence["root"]), evidence["test"])
+    validation = protocol.attached(protocol.load_logits(spark, json.loads(originals[0])["validation"]["tuned"]["logits"], evidence["root"]), evidence["validation"])
+    try:
+        edited(frozen_path, ("validation", "tuned", "temperature"), moved)
+        edited(frozen_path, ("validation", "tuned", "after"), protocol.evaluation_block(validation, moved))
+        edited(final_path, ("systems", "tuned", "temperature"), moved)
+        edited(final_path, ("systems", "tuned", "metrics_after_temperature"), protocol.evaluation_block(rows, moved))
+        tree = json.loads(final_path.read_text())
+        edited(final_path, ("delta",), protocol.delta_of(tree["systems"]))
+        edited(final_path, ("frozen_selection_sha256",), protocol.frozen_digest(json.loads(frozen_path.read_text())))
+        with pytest.raises(EvidenceError, match="temperature"):
+            verify(spark, evidence)
+    finally:
+        frozen_path.write_text(originals[0])
+        final_path.write_text(originals[1])
+
+
+def test_a_failed_attempt_is_kept(spark, evidence, tmp_path):
+    for name in (protocol.TRAINING, protocol.FROZEN):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text((evidence["root"] / name).read_text())
+    shutil.copytree(evidence["root"] / "adapters", tmp_path / "adapters")
+    edited(tmp_path / protocol.FROZEN, ("test_evaluations_run",), 0)
+
+    def broken(rows):
+        raise RuntimeError("no device")
+
+    with pytest.raises(RuntimeError):
+        protocol.run_final_test(spark, tmp_path, evidence["config"], protocol.CONFIRMATION, evidence["test"], {"base": evidence["scorers"]["base"], "tuned": broken})
+    (kept,) = (tmp_path / "outputs/failed-attempts").iterdir()
+    kept = json.loads(kept.read_text())
+    assert kept["stage"] == "scoring tuned" and kept["selected_epoch"] == 2 and "no device" in kept["error"]
+    with pytest.raises(EvidenceError):
+        protocol.run_final_test(spark, tmp_path, evidence["config"], protocol.CONFIRMATION, evidence["test"], evidence["scorers"])
+
+
+def test_a_validation_baseline(spark, evidence):
+    z = frame(spark, logits(np.random.default_rng(1), [r["label"] for r in evidence["validation"].orderBy("pos").collect()], 1.5))
+    out = protocol.validation_baseline(z, evidence["validation"], evidence["config"])
+    assert out["split"] == "validation" and not out["test_evaluated"]
+    before, after = (out[f"metrics_{k}_temperature"] for k in ("before", "after"))
+    assert before["macro_f1"] == after["macro_f1"] and after["nll"] <= before["nll"] and after["temperature"] == out["validation_temperature"]
+
+
+def test_card_refuses_another_run(spark, evidence):
     path = evidence["root"] / protocol.FINAL
     original = path.read_text()
     try:
         edited(path, ("selected_epoch",), 1)
         with pytest.raises(EvidenceError, match="another run"):
-            card.build_card(evidence["root"])
+            card.build_card(evidence["root"], spark=spark)
     finally:
         path.write_text(original)
     for block in (None, {"trainable_parameters": 200}, {"trainable_parameters": 200, "total_parameters": 10_200, "trainable_percent": 3.0}):
         with pytest.raises(EvidenceError):
-            card.parameters_line({"parameters": block})
+            card.parameters_line(spark, {"parameters": block})
 
 
 def test_worse_systems_still_verify(spark, evidence):
@@ -230,6 +296,10 @@ def test_trees(spark):
     assert found == {"n": "missing", "new": "unexpected", "i": "different"}
     assert "x" in {r["path"] for r in trees.tree_diff(left, right).collect()}
     docs = spark.createDataFrame([(1, '{"a": {"b": 1, "c": {}}, "d": [1], "e": null, "f": 1.5, "g": "t", "h": true}'), (2, None), (3, "{bad"), (4, "{}")], "k int, j string")
+    deep = "".join('{"x": ' for _ in range(11)) + "7" + "}" * 11
+    wide = spark.range(1_200_000).select("id", F.concat(F.lit('{"a": {"b": '), F.col("id").cast("string"), F.lit("}}")).alias("j")).unionByName(spark.createDataFrame([(-1, deep), (-2, "[1]"), (-3, "null")], "id bigint, j string"))
+    found = trees.flatten_json(wide, "id", "j").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("bigint")).alias("s")).collect()
+    assert {tuple(r) for r in found} == {("a.b", 1_200_000, 1_200_000 * 1_199_999 // 2), (".".join("x" * 11), 1, 7)}
     rows = sorted((r["path"], r["kind"], r["value"]) for r in trees.flatten_json(docs, "k", "j").collect())
     assert rows == [("a.b", "int", "1"), ("d", "list", "[1]"), ("e", "null", None), ("f", "float", "1.5"), ("g", "text", '"t"'), ("h", "bool", "true")]
 
@@ -302,8 +372,20 @@ def test_commands(spark, tmp_path, capsys):
     assert stats["splits"]["train"]["rows"] == 20 and stats["selection"]["unused_publisher_train_rows"] == 80 - 28
     cli.main([*base, "examples", "--output", str(tmp_path / "examples.json")])
     assert len(reports.read_json(tmp_path / "examples.json")) == 3
+    with pytest.raises(SystemExit, match="--tokenizer"):
+        cli.main([*base, "token-audit", "--output", str(tmp_path / "audit.json")])
+    stand_in = ["--tokenizer", "veritab.sources.scorer:HashTokenizer"]
     for extra in ([], ["--check"]):
-        assert cli.main([*base, "token-audit", "--output", str(tmp_path / "audit.json"), *extra]) == 0
+        assert cli.main([*base, *stand_in, "token-audit", "--output", str(tmp_path / "audit.json"), *extra]) == 0
+    assert reports.read_json(tmp_path / "audit.json")["model_tokenizer"] == "stand-in: hashed words"
+    for command in (["final-test", "--confirm", protocol.CONFIRMATION], ["validation-baseline", "--output", str(tmp_path / "b.json")]):
+        with pytest.raises(SystemExit, match="--base"):
+            cli.main([*base, *stand_in, *command])
+    cli.main([*base, *stand_in, "validation-baseline", "--base", "veritab.sources.scorer:hash_scorer", "--output", str(tmp_path / "b.json")])
+    baseline = reports.read_json(tmp_path / "b.json")
+    assert baseline["scorer"] == "veritab.sources.scorer:hash_scorer" and baseline["metrics_before_temperature"]["rows"] == 8
+    with pytest.raises(ValueError, match="80 rows instead of 120000"):
+        cli.main([*base, "--publisher-rows", "120000", "data-stats", "--output", str(tmp_path / "stats.json")])
     for name, r in (("a", report()), ("b", report(4))):
         reports.write_json(r, tmp_path / f"{name}.json")
     with pytest.raises(EvidenceError):

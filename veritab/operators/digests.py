@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veritab.errors import EvidenceError
@@ -29,31 +31,50 @@ def label_digest(rows: DataFrame, by: list[str], label: str = "label", order: st
 
 
 def streamed(rows: DataFrame, value: str, order: str, separator: str = "\n") -> str:
-    """The digest of any number of values: sorted by the cluster, read partition by partition."""
+    """The digest of any number of values: sorted and joined by the cluster, read partition by partition."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([separator.join(batch.column(0).to_pylist())])], ["joined"])
+
     digest, first = hashlib.sha256(), True
-    for (v,) in rows.where(F.col(value).isNotNull()).orderBy(order).select(F.col(value).cast("string")).toLocalIterator(prefetchPartitions=True):
-        digest.update((("" if first else separator) + v).encode())
+    values = rows.where(F.col(value).isNotNull()).orderBy(order).select(F.col(value).cast("string"))
+    for (joined,) in values.mapInArrow(join, "joined string").toLocalIterator(prefetchPartitions=True):
+        digest.update((("" if first else separator) + joined).encode())
         first = False
     if first:
         raise EvidenceError("an empty sequence has no digest")
     return digest.hexdigest()
 
 
-def array_digest(logits: DataFrame, by: list[str], columns: int = 4) -> DataFrame:
+#: Places of an array that one task digests.
+CHUNK = 1 << 20
+
+
+def array_digest(logits: DataFrame, by: list[str], columns: int = 4, chunk: int = CHUNK) -> DataFrame:
     """(*by, rows, array_sha256) of z ordered by pos, as a float32 array.
 
-    The header ``<f4``, NUL, shape, NUL precedes the little-endian values.  Spark
-    has no native bytes of a float, so one task takes one group.
+    The header ``<f4``, NUL, shape, NUL precedes the little-endian values, as in
+    published digests, where all places are below ``chunk``.  For larger arrays,
+    each ``chunk`` places are digested in a task of their own, and the header
+    precedes the digests of the chunks in order.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         values = np.stack(rows.sort_values("pos")["z"].to_numpy()).astype("<f4")
         if values.shape[1] != columns or not np.isfinite(values).all():
             raise EvidenceError("scores must be finite and of the right number")
-        return pd.DataFrame([[*key, len(values), array_sha256(values)]], columns=[*by, "rows", "array_sha256"])
+        part = hashlib.sha256(values.tobytes()).hexdigest()
+        return pd.DataFrame([[*key, len(values), array_sha256(values), part]], columns=[*by, "_chunk", "_n", "_alone", "_part"])
 
     kinds = dict(logits.dtypes)
-    return logits.select(*by, "pos", "z").groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "rows bigint", "array_sha256 string"]))
+    rows = logits.select(*by, "pos", "z").withColumn("_chunk", F.expr(f"pos div {chunk}"))
+    parts = rows.groupBy(*by, "_chunk").applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "_chunk bigint", "_n bigint", "_alone string", "_part string"]))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))), lambda x: x["_part"]), "")
+    whole = parts.groupBy(*by).agg(F.sum("_n").alias("rows"), F.max("_chunk").alias("_last"), F.first("_alone").alias("_alone"), joined.alias("_joined"))
+    tree = F.sha2(F.concat(F.lit("<f4\0("), F.col("rows").cast("string"), F.lit(f", {columns})\0"), "_joined"), 256)
+    return whole.select(*by, "rows", F.when(F.col("_last") == 0, F.col("_alone")).otherwise(tree).alias("array_sha256"))
 
 
 def array_sha256(values: np.ndarray) -> str:

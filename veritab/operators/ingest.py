@@ -55,6 +55,13 @@ def identified(rows: DataFrame, split: str = "train", texts: bool = False) -> Da
     return made.distinct()  # all columns follow from the row_id, so this hashes where dropDuplicates would sort
 
 
+def with_texts(members: DataFrame, rows: DataFrame, split: str = "train") -> DataFrame:
+    """``members``, some of identified(rows), with their texts: only theirs are shuffled."""
+    good = rows.where(F.size(broken_rules()) == 0)
+    texts = good.select(row_id(split, F.col("source_index"), F.col("label"), F.col("text")).alias("row_id"), "text")
+    return members.join(texts, "row_id").dropDuplicates(["row_id"])
+
+
 def strict(rows: DataFrame) -> DataFrame:
     """The rows as they are; reading an invalid one is an error that names it."""
     broken = broken_rules()

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from veritab.config import DataConfig
 from veritab.functions.text import CLASS_NAMES, hash_fraction, order_hash
 from veritab.operators.bottomk import bottom_k
+from veritab.session import written
 
 
 def class_counts(rows: DataFrame, by: list[str] | None = None, classes: int = len(CLASS_NAMES)) -> DataFrame:
@@ -38,9 +39,11 @@ def development_split(rows: DataFrame, config: DataConfig) -> DataFrame:
     if start < 0:
         raise ValueError("validation_start_per_class must not be negative")
     need = max(t + v, start + v)
-    hashed = rows.withColumn("_order", order_hash(config.seed, F.col("row_id")))
-    hashed = hashed.withColumn("_u", hash_fraction(F.col("_order")))
-    sizes = class_counts(rows).select(F.col("label").alias("_label"), F.col("rows").alias("_size"))
+    # read once; texts stay out of it and are joined to the rows that are chosen
+    light = [c for c in rows.columns if c != "text"]
+    ids = written(rows.select(*light, order_hash(config.seed, F.col("row_id")).alias("_order")), "split-ids")
+    hashed = ids.withColumn("_u", hash_fraction(F.col("_order")))
+    sizes = class_counts(ids).select(F.col("label").alias("_label"), F.col("rows").alias("_size"))
     short = F.concat(F.lit("class "), F.col("_label").cast("string"), F.lit(" has "), F.col("_size").cast("string"), F.lit(f" rows; {need} required"))
     # one row over the four counts, so a class without any row is noticed too
     enough = sizes.agg(F.max(F.when(F.col("_size") < need, F.raise_error(short).cast("bigint")).otherwise(F.lit(need).cast("bigint"))).alias("_k"))
@@ -50,10 +53,8 @@ def development_split(rows: DataFrame, config: DataConfig) -> DataFrame:
     r = F.col("_r")
     judged = (r >= start) & (r < start + v)
     trained = ~judged & (F.when(r < start, r).otherwise(r - v) < t)
-    return (
-        ranked.withColumn("split", F.when(judged, "validation").when(trained, "train")).where(F.col("split").isNotNull())
-        .select(*rows.columns, "split")
-    )
+    chosen = ranked.withColumn("split", F.when(judged, "validation").when(trained, "train")).where(F.col("split").isNotNull()).select(*light, "split")
+    return chosen if light == rows.columns else chosen.join(rows.select("row_id", "text"), "row_id").select(*rows.columns, "split")
 
 
 def split_digests(members: DataFrame, order: str = "row_id") -> DataFrame:

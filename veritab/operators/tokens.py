@@ -32,18 +32,34 @@ def nearest_rank(rows: DataFrame, by: list[str], value: str, percent: int, name:
 
 def length_summary(lengths: DataFrame, longest: int) -> DataFrame:
     """(split, rows, minimum, median, p95_nearest_rank, maximum, rows_over) of ``n_tokens``."""
-    plain = lengths.groupBy("split").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("n_tokens").cast("bigint").alias("minimum"), F.median("n_tokens").alias("median"),
-        F.max("n_tokens").cast("bigint").alias("maximum"), F.count_if(F.col("n_tokens") > longest).alias("rows_over"),
+    return _summary(lengths.groupBy("split", "n_tokens").agg(F.count(F.lit(1)).alias("n")), longest)
+
+
+def _summary(counts: DataFrame, longest: int) -> DataFrame:
+    """All numbers from (split, n_tokens, n), the counts of each length: rows are read once.
+
+    The median is the mean of the lengths of the two middle ranks, which are one
+    where the number of rows is odd.
+    """
+    upto, whole = Window.partitionBy("split").orderBy("n_tokens"), Window.partitionBy("split")
+    counts = counts.withColumn("_upto", F.sum("n").over(upto)).withColumn("_all", F.sum("n").over(whole))
+
+    def at(rank: str) -> Column:
+        return F.min(F.when(F.col("_upto") >= F.expr(rank), F.col("n_tokens")))
+
+    return counts.groupBy("split").agg(
+        F.sum("n").alias("rows"), F.min("n_tokens").cast("bigint").alias("minimum"), ((at("(_all + 1) div 2") + at("_all div 2 + 1")) / 2).cast("double").alias("median"),
+        at("greatest(1, (95 * _all + 99) div 100)").cast("bigint").alias("p95_nearest_rank"), F.max("n_tokens").cast("bigint").alias("maximum"),
+        F.coalesce(F.sum(F.when(F.col("n_tokens") > longest, F.col("n"))), F.lit(0)).cast("bigint").alias("rows_over"),
     )
-    p95 = nearest_rank(lengths, ["split"], "n_tokens", 95, "p95_nearest_rank")
-    return plain.join(p95, "split").select("split", "rows", "minimum", "median", F.col("p95_nearest_rank").cast("bigint").alias("p95_nearest_rank"), "maximum", "rows_over")
 
 
 def token_audit(lengths: DataFrame, longest: int) -> DataFrame:
     """The summaries of the splits and, as split `all rows`, of all; ``safe`` if none is too long."""
-    both = lengths.select("split", "n_tokens").unionByName(lengths.select(F.lit("all rows").alias("split"), "n_tokens"))
-    return length_summary(both, longest).withColumn("safe", F.col("rows_over") == 0)
+    counts = lengths.groupBy("split", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array("split", F.lit("all rows"))).alias("split")
+    both = counts.select(each, "n_tokens", "n").groupBy("split", "n_tokens").agg(F.sum("n").alias("n"))
+    return _summary(both, longest).withColumn("safe", F.col("rows_over") == 0)
 
 
 def median_value(median: float) -> int | float:

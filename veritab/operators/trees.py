@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritab.errors import EvidenceError
+from veritab.session import written
 
 TOLERANCE = 1e-9
 LEAVES = "path string, kind string, value string"
@@ -41,26 +42,42 @@ def kind_of(value: Any) -> str:
     return {bool: "bool", int: "int", float: "float", str: "text"}.get(type(value), "list")
 
 
+#: Levels of objects opened in one projection; deeper ones are written and opened further.
+LEVELS = 4
+
+
+def _opened(nodes: DataFrame) -> DataFrame:
+    """Objects of (key, path, v) replaced by their members; all else stays as it is."""
+    members = F.try_variant_get("v", "$", "map<string,variant>")
+    before = F.coalesce(F.concat(F.col("path"), F.lit(".")), F.lit(""))
+    inner = F.transform(F.map_entries(members), lambda e: F.struct(F.concat(before, e["key"]).alias("path"), e["value"].alias("v")))
+    each = F.when(members.isNotNull(), inner).otherwise(F.array(F.struct("path", "v")))
+    return nodes.select("key", F.explode(each).alias("x")).select("key", "x.path", "x.v")
+
+
 def flatten_json(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, path, kind, value): the leaves of a column of JSON texts.
 
-    A recursive query opens one level of objects after the other; arrays are
-    leaves.  A null or malformed text has no leaves.
+    Objects are opened level by level in projections, without a shuffle and whatever
+    the number of rows; arrays are leaves, empty objects have none.  A null or
+    malformed text and one that isn't an object have no leaves.
     """
-    spark = documents.sparkSession
-    documents.select(F.col(key).alias("key"), F.try_parse_json(text).alias("v")).createOrReplaceTempView("_veritab_documents")
-    nodes = spark.sql(
-        """with recursive node(key, path, v) as (
-             select key, '', v from _veritab_documents where v is not null
-             union all
-             select n.key, concat(n.path, if(n.path = '', '', '.'), e.name), e.child
-             from (select key, path, v from node where schema_of_variant(v) like 'OBJECT<%') n, lateral variant_explode(n.v) as e(pos, name, child)
-           )
-           select key, path, v from node where path <> '' and schema_of_variant(v) not like 'OBJECT<%'"""
-    )
+    nodes = documents.select(F.col(key).alias("key"), F.lit(None).cast("string").alias("path"), F.try_parse_json(text).alias("v"))
+    nodes = nodes.where(F.try_variant_get("v", "$", "map<string,variant>").isNotNull())
+    leaves = None
+    while True:
+        for _ in range(LEVELS):
+            nodes = _opened(nodes)
+        is_object = F.try_variant_get("v", "$", "map<string,variant>").isNotNull()
+        flat = nodes.where(~is_object)
+        leaves = flat if leaves is None else leaves.unionByName(flat)
+        nodes = nodes.where(is_object)
+        if nodes.isEmpty():
+            break
+        nodes = written(nodes, "flatten-json")
     kind = F.schema_of_variant("v")
     name = F.when(kind == "BIGINT", "int").when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), "float").when(kind == "BOOLEAN", "bool").when(kind == "STRING", "text").when(kind == "VOID", "null").otherwise("list")
-    return nodes.select(F.col("key").alias(key), "path", name.alias("kind"), F.when(kind != "VOID", F.to_json("v")).alias("value"))
+    return leaves.select(F.col("key").alias(key), "path", name.alias("kind"), F.when(kind != "VOID", F.to_json("v")).alias("value"))
 
 
 def tree_diff(left: DataFrame, right: DataFrame, by: list[str] | None = None, absolute: float = 0.0, relative: float = 0.0) -> DataFrame:

@@ -12,8 +12,8 @@ from veritab.operators import digests, splits, tokens
 from veritab.operators.trees import require_equal
 
 
-def build(lengths: DataFrame, config: ExperimentConfig, code_ids: tuple[int, ...], test_loaded: bool = False) -> dict[str, Any]:
-    """The audit of (split, row_id, n_tokens) of train and validation."""
+def build(lengths: DataFrame, config: ExperimentConfig, code_ids: tuple[int, ...], test_loaded: bool = False, tokenizer: str | None = None) -> dict[str, Any]:
+    """The audit of (split, row_id, n_tokens) of train and validation; ``tokenizer`` names what measured them, by default the model's own."""
     if test_loaded:
         raise ValueError("an audit of lengths must not load the test split")
     longest = config.training.max_sequence_length
@@ -35,15 +35,15 @@ def build(lengths: DataFrame, config: ExperimentConfig, code_ids: tuple[int, ...
     over = sum(b["prompt_plus_answer_tokens"]["rows_over_max_sequence_length"] for b in blocks.values())
     return {
         "schema_version": 1, "config_sha256": digests.json_sha256(config.to_dict()), "dataset": config.data.dataset_name, "dataset_revision": config.data.dataset_revision,
-        "model_tokenizer": config.model_name, "model_revision": config.model_revision, "max_sequence_length": longest, "test_loaded": False,
+        "model_tokenizer": tokenizer or config.model_name, "model_revision": config.model_revision, "max_sequence_length": longest, "test_loaded": False,
         "class_code_token_ids": dict(zip("ABCD", code_ids, strict=True)), "splits": blocks, "development_rows": sum(b["rows"] for b in blocks.values()),
         "rows_over_max_sequence_length": over, "safe_to_train_without_truncation": over == 0,
     }
 
 
-def verify(stored: dict, lengths: DataFrame, config: ExperimentConfig, code_ids: tuple[int, ...]) -> dict:
+def verify(stored: dict, lengths: DataFrame, config: ExperimentConfig, code_ids: tuple[int, ...], tokenizer: str | None = None) -> dict:
     """Recompute an audit; a stale field or a row too long is refused."""
-    again = build(lengths, config, code_ids)
+    again = build(lengths, config, code_ids, tokenizer=tokenizer)
     require_equal(stored, again, "token_audit")
     if not again["safe_to_train_without_truncation"]:
         raise EvidenceError(f"{again['rows_over_max_sequence_length']} rows are longer than {again['max_sequence_length']} tokens")

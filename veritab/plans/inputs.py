@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veritab.config import DataConfig
 from veritab.functions.text import SPACE, SYSTEM_PROMPT, content_id, is_blank, normalize_text, user_content
-from veritab.operators.ingest import identified
+from veritab.operators.ingest import identified, with_texts
 from veritab.operators.splits import development_split
 
 SPLIT = DataConfig(seed=73, train_per_class=40, validation_per_class=12)
@@ -26,7 +26,8 @@ def corpus(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
 
 
 def development(spark: SparkSession, sf_dir: str, config: DataConfig = SPLIT, texts: bool = False) -> DataFrame:
-    return development_split(corpus(spark, sf_dir, texts), config)
+    members = development_split(corpus(spark, sf_dir), config)
+    return with_texts(members, table(spark, sf_dir, "example").select("text", "label", "source_index")) if texts else members
 
 
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ creation of a file, not by looking first.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from pathlib import Path
 from typing import Any
@@ -20,7 +21,8 @@ from veritab.operators import calibration, digests, paired, resample
 from veritab.operators.selection import chosen
 from veritab.operators.trees import TOLERANCE, require_equal
 from veritab.plans.blocks import attached, evaluation_block, label_digest, prediction_digest, predictions
-from veritab.sources.files import local_manifest, sha256_file, verify_manifest
+from veritab.session import written
+from veritab.sources.files import environment, local_manifest, sha256_file, verify_manifest
 from veritab.sources.logits import load_logits, save_logits
 from veritab.sources.reports import create_json, is_utc, read_json, utc_now, write_json
 
@@ -33,6 +35,27 @@ SCOPE = "how far the one stored test run would move with another sample of rows;
 #: A card may be put beside an adapter without touching its digest.
 MUTABLE = frozenset({"README.md"})
 SYSTEMS = ("base", "tuned")
+#: What ties a report to its run: the leaf of a training report, under the name others record it by.
+PROVENANCE = {"model": ("model",), "model_revision": ("model_revision",), "config": ("config",), "selected_epoch": ("selection", "selected_epoch"), "selected_adapter_hashes": ("selection", "selected_adapter_hashes")}
+#: How a prediction is read from the scores of the final test.
+DECODING = "argmax over the scores of the four class codes; no answer outside the codes can occur, so the invalid rate is 0 by construction"
+COUNTER = "test_evaluations_run"
+
+
+def provenance(training: dict) -> dict:
+    """The fields that bind the frozen selection and the final report to a training report."""
+    out = {}
+    for name, path in PROVENANCE.items():
+        node = training
+        for key in path:
+            node = node[key]
+        out[name] = node
+    return out
+
+
+def frozen_digest(frozen: dict) -> str:
+    """The digest of a frozen selection without the counter that the test raises."""
+    return digests.json_sha256({k: v for k, v in frozen.items() if k != COUNTER})
 
 
 def _same(report: dict, expected: dict, what: str) -> None:
@@ -43,7 +66,7 @@ def _same(report: dict, expected: dict, what: str) -> None:
 
 def validation_baseline(logits: DataFrame, labels: DataFrame, config: ExperimentConfig) -> dict:
     """The untuned system on validation: before and after a fitted temperature."""
-    rows = attached(logits, labels).cache()
+    rows = written(attached(logits, labels), "baseline")
     fitted = calibration.fit_temperature(rows)
     return {
         "schema_version": 1, "created_at_utc": utc_now(), "model": config.model_name, "model_revision": config.model_revision, "split": "validation",
@@ -112,14 +135,13 @@ def freeze_selection(spark: SparkSession, root: str | Path, labels: DataFrame) -
     best = verify_training(spark, root, labels, report=report)
     validation = {}
     for name, logits in (("base", report["base_validation_logits"]), ("tuned", best["validation_logits"])):
-        rows = attached(load_logits(spark, logits, root), labels).cache()
+        rows = written(attached(load_logits(spark, logits, root), labels), "frozen")
         fitted = calibration.fit_temperature(rows)
         _argmax_kept(rows, fitted)
         validation[name] = {"logits": logits, "temperature": fitted, "before": evaluation_block(rows), "after": evaluation_block(rows, fitted)}
     frozen = {
-        "schema_version": 1, "created_at_utc": utc_now(), "model": report["model"], "model_revision": report["model_revision"], "config": report["config"],
-        "selected_epoch": best["epoch"], "selected_adapter_hashes": report["selection"]["selected_adapter_hashes"], "training_report_sha256": sha256_file(root / TRAINING),
-        "validation_label_sha256": report["validation_label_sha256"], "validation": validation, "test_evaluations_run": 0,
+        "schema_version": 1, "created_at_utc": utc_now(), **provenance(report), "training_report_sha256": sha256_file(root / TRAINING),
+        "validation_label_sha256": report["validation_label_sha256"], "validation": validation, COUNTER: 0,
     }
     create_json(frozen, root / FROZEN)
     return frozen
@@ -130,12 +152,7 @@ def verify_frozen(spark: SparkSession, root: str | Path, labels: DataFrame) -> d
     root = Path(root)
     frozen, report = read_json(root / FROZEN), read_json(root / TRAINING)
     best = verify_training(spark, root, labels, adapters=False, report=report)
-    _same(
-        frozen,
-        {"model": report["model"], "model_revision": report["model_revision"], "config": report["config"], "selected_epoch": best["epoch"], "selected_adapter_hashes": report["selection"]["selected_adapter_hashes"],
-         "training_report_sha256": sha256_file(root / TRAINING), "validation_label_sha256": label_digest(labels)},
-        "frozen selection",
-    )
+    _same(frozen, provenance(report) | {"training_report_sha256": sha256_file(root / TRAINING), "validation_label_sha256": label_digest(labels)}, "frozen selection")
     if set(frozen["validation"]) != set(SYSTEMS):
         raise EvidenceError("frozen selection: validation must have both systems")
     for name, logits in (("base", report["base_validation_logits"]), ("tuned", best["validation_logits"])):
@@ -152,7 +169,7 @@ def require_frozen(root: str | Path) -> dict:
     """The frozen selection, its adapter unchanged and the test not used yet."""
     root = Path(root)
     frozen = read_json(root / FROZEN)
-    if frozen.get("test_evaluations_run") != 0:
+    if frozen.get(COUNTER) != 0:
         raise EvidenceError("the test was used already")
     verify_manifest(root / ADAPTER, frozen["selected_adapter_hashes"], MUTABLE)
     return frozen
@@ -178,12 +195,15 @@ def delta_of(systems: dict) -> dict:
     }
 
 
-def run_final_test(spark: SparkSession, root: str | Path, config: ExperimentConfig, confirmation: str, test: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]]) -> dict:
+def run_final_test(
+    spark: SparkSession, root: str | Path, config: ExperimentConfig, confirmation: str, test: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]], names: dict[str, str] | None = None
+) -> dict:
     """The one evaluation on the test split.
 
-    ``test`` has pos, row_id and label; each scorer turns it into (pos, z).  The
-    claim file is created before anything is scored, so two runs can't both pass;
-    a failure after that is recorded and raised, and the claim stays.
+    ``test`` has pos, row_id and label; each scorer turns it into (pos, z) and is
+    run once; ``names`` says what the scorers are.  The claim file is created
+    before anything is scored, so two runs can't both pass; a failure after that
+    is recorded with its stage and raised, and the claim stays.
     """
     root = Path(root)
     if type(config.test_evaluations_allowed) is not int or config.test_evaluations_allowed != 1:
@@ -198,33 +218,39 @@ def run_final_test(spark: SparkSession, root: str | Path, config: ExperimentConf
     if rows != config.data.publisher_test_rows:
         raise EvidenceError(f"the test split has {rows} rows instead of {config.data.publisher_test_rows}")
     create_json({"created_at_utc": utc_now(), "confirmation": confirmation}, root / CLAIM)
+    stage = "start"
     try:
         systems = {}
         for name in SYSTEMS:
+            stage, began = f"scoring {name}", time.perf_counter()
             logits = save_logits(scorers[name](test), root, f"outputs/logits/{name}-test.parquet")
-            systems[name] = system_block(attached(load_logits(spark, logits, root), test), logits, frozen["validation"][name]["temperature"])
+            seconds = time.perf_counter() - began
+            stage = f"metrics of {name}"
+            systems[name] = system_block(attached(load_logits(spark, logits, root), test), logits, frozen["validation"][name]["temperature"], seconds)
+        stage = "report"
         report = {
-            "schema_version": 1, "created_at_utc": utc_now(), "test_evaluated": True, "test_evaluations_run": 1, "rows": rows,
-            **{k: frozen[k] for k in ("model", "model_revision", "config", "selected_epoch", "selected_adapter_hashes")},
-            "frozen_selection_sha256": sha256_file(root / FROZEN), "test_row_ids_sha256": digests.streamed(test, "row_id", "pos"), "test_label_sha256": label_digest(test),
+            "schema_version": 1, "created_at_utc": utc_now(), "test_evaluated": True, COUNTER: 1, "split": "publisher test", "rows": rows,
+            **{k: frozen[k] for k in PROVENANCE}, "environment": environment(), "decoding": DECODING, "scorers": names or {},
+            "frozen_selection_sha256": frozen_digest(frozen), "test_row_ids_sha256": digests.streamed(test, "row_id", "pos"), "test_label_sha256": label_digest(test),
             "systems": systems, "delta": delta_of(systems),
         }
         create_json(report, root / FINAL)
     except Exception as error:
-        write_json({"created_at_utc": utc_now(), "error": f"{type(error).__name__}: {error}"}, root / "outputs/failed-test-attempt.json")
+        failed = {"created_at_utc": utc_now(), "stage": stage, "error": f"{type(error).__name__}: {error}", "selected_epoch": frozen["selected_epoch"], "note": "scores of this attempt may lie under outputs/logits"}
+        create_json(failed, root / f"outputs/failed-attempts/final-test-{time.time_ns()}.json")
         raise
-    write_json(frozen | {"test_evaluations_run": 1}, root / FROZEN)
+    write_json(frozen | {COUNTER: 1}, root / FROZEN)
     return report
 
 
-def verify_final(spark: SparkSession, root: str | Path, test: DataFrame) -> dict:
-    """Recompute the final report from its scores, the frozen temperatures and the test split."""
+def verify_final(spark: SparkSession, root: str | Path, test: DataFrame, validation: DataFrame) -> dict:
+    """Recompute the final report from its scores, the test split, and temperatures refitted on validation."""
     root = Path(root)
-    report, frozen = read_json(root / FINAL), read_json(root / FROZEN)
-    if frozen.get("test_evaluations_run") != 1 or type(frozen.get("test_evaluations_run")) is not int:
+    report, frozen = read_json(root / FINAL), verify_frozen(spark, root, validation)
+    if frozen.get(COUNTER) != 1 or type(frozen.get(COUNTER)) is not int:
         raise EvidenceError("the frozen selection doesn't record one test")
-    expected = {k: frozen[k] for k in ("model", "model_revision", "config", "selected_epoch", "selected_adapter_hashes")}
-    expected |= {"test_evaluated": True, "test_evaluations_run": 1, "rows": test.count(), "test_row_ids_sha256": digests.streamed(test, "row_id", "pos"), "test_label_sha256": label_digest(test)}
+    expected = {k: frozen[k] for k in PROVENANCE} | {"frozen_selection_sha256": frozen_digest(frozen), "decoding": DECODING}
+    expected |= {"test_evaluated": True, COUNTER: 1, "rows": test.count(), "test_row_ids_sha256": digests.streamed(test, "row_id", "pos"), "test_label_sha256": label_digest(test)}
     _same(report, expected, "final report")
     if set(report["systems"]) != set(SYSTEMS):
         raise EvidenceError("final report: systems must be base and tuned")
@@ -311,18 +337,18 @@ def verify_intervals(spark: SparkSession, root: str | Path, labels: DataFrame) -
 def verify_all(spark: SparkSession, root: str | Path, validation: DataFrame, test: Callable[[], DataFrame], adapters: bool = True) -> dict:
     """Verify whatever reports exist; the test split is asked for only if one needs it."""
     root = Path(root)
-    present = {p: (root / p).exists() for p in (TRAINING, FINAL, INTERVALS)}
+    present = {p: (root / p).exists() for p in (TRAINING, FROZEN, FINAL, INTERVALS)}
     if not any(present.values()):
         raise EvidenceError("there is nothing to verify")
     out: dict[str, Any] = {}
     if present[TRAINING]:
         out["training_report"] = {"verified": True, "selected_epoch": verify_training(spark, root, validation, adapters)["epoch"], "adapter_files_verified": adapters}
+    if present[FROZEN] and not present[FINAL]:  # else the final report's check includes it
+        out["frozen_selection"] = {"verified": True, "selected_epoch": verify_frozen(spark, root, validation)["selected_epoch"]}
     if present[FINAL] or present[INTERVALS]:
         held = test()
         if present[FINAL]:
-            out["final_test_report"] = verify_final(spark, root, held)
+            out["final_test_report"] = verify_final(spark, root, held, validation)
         if present[INTERVALS]:
             out["test_intervals"] = verify_intervals(spark, root, held)
     return out
-
-

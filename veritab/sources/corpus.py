@@ -8,18 +8,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritab.config import DataConfig
 from veritab.errors import LockedSplitError
-from veritab.operators.ingest import identified, require_schema, violations
+from veritab.functions.text import CLASS_NAMES
+from veritab.operators.ingest import identified, require_schema, violations, with_texts
 from veritab.operators.leaks import require_no_leaks
 from veritab.operators.splits import development_split
 
 UPSTREAM = "text string, label int, source_index bigint"
 
 
+#: Fixed value: the rows of the published corpus that the reports were made from.
+PUBLISHED_ROWS = 120_000
+#: The key of a label column's metadata that holds the class names.
+NAMES = "names"
+
+
 def read_corpus(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """Labelled rows with a fixed schema; ``rows`` pins their number.
 
     The index of a row comes from the file, never from the order of reading.
+    Where the file's label column records class names, others than the engine's
+    are refused.
     """
+    recorded = {f.name: f.metadata for f in spark.read.parquet(path).schema}.get("label", {}).get(NAMES)
+    if recorded is not None and tuple(recorded) != CLASS_NAMES:
+        raise ValueError(f"{path} has the classes {recorded}")
     out = spark.read.schema(UPSTREAM).parquet(path)
     if rows is not None and (n := out.count()) != rows:
         raise ValueError(f"{path} has {n} rows instead of {rows}")
@@ -52,7 +64,7 @@ def load_bundle(spark: SparkSession, train_path: str, config: DataConfig, test_p
     """
     rows = read_corpus(spark, train_path, publisher_rows)
     refuse_invalid(rows)
-    members = development_split(identified(rows, "train", texts=True), config)
+    members = with_texts(development_split(identified(rows, "train"), config), rows)
     train, validation = (members.where(F.col("split") == s).drop("split") for s in ("train", "validation"))
     test = None
     if allow_test:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import platform
-from importlib import metadata
+from collections.abc import Iterator
+from importlib import import_module, metadata
 from pathlib import Path, PurePosixPath
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritab.errors import EvidenceError
@@ -21,11 +24,41 @@ def sha256_file(path: str | Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+#: Files from this size on are read in pieces instead of as one value.
+WHOLE = 1 << 27
+
+
+def _hashed_in_pieces(paths: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in paths:
+        digests = []
+        for place in batch.column(0).to_pylist():
+            filesystem, path = fs.FileSystem.from_uri(place)
+            with filesystem.open_input_stream(path) as f:
+                digests.append(hashlib.file_digest(_Readable(f), "sha256").hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string())], ["path", "length", "sha256"])
+
+
+class _Readable:
+    """An input stream in the form that file_digest() reads."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        piece = self.stream.read(len(buffer))
+        buffer[: len(piece)] = piece
+        return len(piece)
+
+
+def scan(spark: SparkSession, root: str, whole: int = WHOLE) -> DataFrame:
     """(path, length, sha256) of all files under a folder, paths relative to it.
 
-    Files are read and hashed by the cluster, each as one value (below 2 GB).  The
-    reader skips empty files; they are added from the listing.
+    Files are read and hashed by the cluster: small ones each as one value, those of
+    ``whole`` bytes or more in pieces, so no length is too long.  Empty files come
+    from the listing, as the reader skips them.
     """
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
@@ -34,7 +67,9 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     start = F.lit(len("/" + base.split(":", 1)[-1].strip("/")) + 2) if base.startswith("/") or ":" in base else F.locate(marker, plain) + len(marker)
     empty = spark.createDataFrame([(p,) for p in _empty_files(spark, base)], "path string")
-    found = files.select("path", "length", F.sha2("content", 256).alias("sha256")).unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.sha2(F.lit(b""), 256).alias("sha256")))
+    small = files.where(F.col("length") < whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") >= whole).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length").mapInArrow(_hashed_in_pieces, "path string, length bigint, sha256 string")
+    found = small.unionByName(large).unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.sha2(F.lit(b""), 256).alias("sha256")))
     return found.select(plain.substr(start, F.lit(1 << 20)).alias("path"), "length", "sha256")
 
 
@@ -72,6 +107,12 @@ def verify_manifest(root: str | Path, recorded: dict, mutable: frozenset[str] =
         raise EvidenceError(f"{root} differs from its manifest in {bad[:10]}")
 
 
+def exists(spark: SparkSession, place: str) -> bool:
+    """Whether the file system that the cluster uses for ``place`` has it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def guarded(reference: object, root: str | Path, suffix: str) -> Path:
     """The place of a relative path inside ``root``; anything that leads out is refused."""
     if not isinstance(reference, str) or not reference:
@@ -97,7 +138,17 @@ def versions(names: tuple[str, ...] = AUDITED) -> dict[str, str]:
 
 
 def environment(gpu_name: str | None = None, cuda_version: str | None = None) -> dict:
-    return {"python": platform.python_version(), "platform": platform.platform(), "packages": versions(), "gpu_name": gpu_name, "cuda_version": cuda_version}
+    """Versions of the driver; the GPU is asked for where the library for it is installed."""
+    available = gpu_name is not None
+    if not available:
+        try:
+            cuda = import_module("torch").cuda
+            available = bool(cuda.is_available())
+            gpu_name = cuda.get_device_name(0) if available else None
+        except ImportError:
+            pass
+    out = {"python": platform.python_version(), "platform": platform.platform(), "packages": versions(), "gpu_name": gpu_name, "cuda_available": available}
+    return out | ({"cuda_version": cuda_version} if cuda_version else {})
 
 
 def environment_table(spark: SparkSession) -> DataFrame:

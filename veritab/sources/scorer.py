@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from importlib import import_module
 from typing import Protocol
 
 import numpy as np
@@ -25,8 +26,9 @@ class Scorer(Protocol):
 
 
 class HashTokenizer:
-    """Words as stable ids from 20 upwards; codes A to D are 10 to 13."""
+    """A stand-in: words as stable ids from 20 upwards; codes A to D are 10 to 13."""
 
+    name = "stand-in: hashed words"
     eos_token_id = 2
     pad_token_id = 2
 
@@ -34,6 +36,42 @@ class HashTokenizer:
         return [10 + "ABCD".index(w) if w in tuple("ABCD") else 20 + int.from_bytes(hashlib.sha256(w.encode()).digest()[:2], "big") for w in text.split()]
 
 
+class LibraryTokenizer:
+    """A public tokenizer from its JSON file, read by the ``tokenizers`` library where that is installed.
+
+    Strings of special tokens in a text are ordinary text.
+    """
+
+    def __init__(self, path: str, end: str = "<|endoftext|>"):
+        self.path, self.name = path, path.rsplit("/", 1)[-1]
+        self.eos_token_id = self.pad_token_id = self._library().token_to_id(end)
+
+    def _library(self):
+        tokenizer = import_module("tokenizers").Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
+    def encode(self, text: str) -> list[int]:
+        if "_loaded" not in self.__dict__:
+            self._loaded = self._library()
+        return self._loaded.encode(text, add_special_tokens=False).ids
+
+    def __getstate__(self) -> dict:
+        # executors load the file themselves
+        return {k: v for k, v in self.__dict__.items() if k != "_loaded"}
+
+
+def named(spec: str | None, what: str):
+    """The object of ``module:attribute``, made if it is a class; a JSON file is a public tokenizer."""
+    if not spec:
+        raise SystemExit(f"{what} is needed, as module:attribute")
+    if spec.endswith(".json"):
+        return LibraryTokenizer(spec)
+    module, _, attribute = spec.partition(":")
+    found = getattr(import_module(module), attribute)
+    return found() if isinstance(found, type) else found
+
+
 def flat_ids(encoded: object) -> list[int]:
     """Ids of one prompt from a list, a mapping with input_ids, or a batch of one."""
     ids = encoded["input_ids"] if hasattr(encoded, "keys") else encoded
@@ -114,7 +152,7 @@ def score(prompts: DataFrame, scorer: Scorer, pad: int = 2, batch: int = 4, long
 
 
 def hash_scorer(rows: list[list[int]], mask: list[list[int]]) -> np.ndarray:
-    """Scores that depend on the unmasked ids only."""
+    """A stand-in: scores that depend on the unmasked ids only."""
     out = []
     for ids, keep in zip(rows, mask):
         seed = hashlib.sha256(repr([i for i, k in zip(ids, keep) if k]).encode()).digest()
