@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from veritab.llm import copies, neardup, overlap, queries, textcodes
+from veritab.llm import copies, neardup, overlap, queries, textcodes, textindex
 
 TEXT = "row_id string, text string"
 ALPHABET = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -168,25 +168,88 @@ def test_overlaps(spark, shard_words):
     assert overlap.found(overlap.overlaps(df.limit(0))).count() == 0
 
 
+def runs_of(a, b):
+    """Longest common run of words, distinct common runs of three, and the words of b in common runs."""
+    x, y = brute.words(a), brute.words(b)
+    g = {tuple(x[i : i + 3]) for i in range(len(x) - 2)}
+    inside = {k for i in range(len(y) - 2) if tuple(y[i : i + 3]) in g for k in range(i, i + 3)}
+    best, row = 0, [0] * (len(y) + 1)
+    for w in x:
+        row = [0] + [row[j] + 1 if w == y[j] else 0 for j in range(len(y))]
+        best = max(best, max(row))
+    spans = [(s, next(e for e in range(s, len(y) + 1) if e not in inside)) for s in sorted(inside) if s - 1 not in inside]
+    return best, len(g & brute.grams(b)), spans
+
+
+@pytest.mark.parametrize("sweep", [50, 10**6])
+def test_links(spark, sweep):
+    rng = random.Random(8)
+    base = [story(rng) for _ in range(25)] + ["a b " * 12, "x y z " * 9]
+    rows = [("train", f"t{k}", edited(rng, rng.choice(base))) for k in range(70)] + [("test", f"j{k}", edited(rng, rng.choice(base))) for k in range(70)]
+    df = spark.createDataFrame(rows, "split string, row_id string, text string").repartition(3)
+    train, judged = overlap.keyed(df)
+    found = overlap.near_links(judged.where("class is not null"), train.where("class is not null"), 300, sweep).collect()
+    key = lambda t: textcodes.word_keys(*textcodes.words([t]))[0]
+    truth = {}
+    for s, _, t in rows:
+        for _, _, u in (r for r in rows if s == "train" and r[0] == "test"):
+            x, y = brute.grams(t), brute.grams(u)
+            if x and y and 5 * len(x & y) >= 3 * len(x | y):
+                best, shared, spans = runs_of(t, u)
+                truth[key(t), key(u)] = (shared, len(x | y), best, spans)
+    out = {(bytes(r[0]), bytes(r[1])): (r[2], r[3], r[4], [tuple(x) for x in r[5]]) for r in found}
+    assert out == truth and len(out) == len(found) > 30
+    rows_ = {(r["split"], r["row_id"]): r for r in overlap.overlaps(df, 300).collect()}
+    for s, i, u in rows:
+        if s == "test":
+            mine = [(k, v) for k, v in truth.items() if k[1] == key(u)]
+            words = {w for _, v in mine for a, b in v[3] for w in range(a, b)}
+            r = rows_[s, i]
+            assert (r["n_links"] or 0, r["longest"] or 0, r["n_words"] or 0) == (len(mine), max((v[2] for _, v in mine), default=0), len(words)), i
+            assert (r["train_row_id"] is None) == (not mine)
+    pairs = overlap.links(df, 300).collect()
+    assert len(pairs) == len(truth) and all(r["row_id"][0] == "j" and r["train_row_id"][0] == "t" for r in pairs)
+
+
+def test_a_text_in_a_third_of_both_sides(spark):
+    rng = random.Random(2)
+    hot = story(rng, 40)
+    rows = [(s, f"{s}{k}", hot if k % 3 == 0 else story(rng, 12)) for s in ("train", "test") for k in range(300)]
+    out = overlap.overlaps(spark.createDataFrame(rows, "split string, row_id string, text string"), 500).where("near").collect()
+    assert {r["row_id"] for r in out} == {f"test{k}" for k in range(0, 300, 3)}
+    assert {(r["copy"], r["n_links"], r["longest"], r["n_spans"], r["n_words"], r["train_row_id"]) for r in out} == {(True, 1, 40, 1, 40, "train0")}
+
+
 def test_word_index():
     rng = random.Random(0)
-    texts = [story(rng, 60) for _ in range(30)] + ["a b a b a b a b a b", "a b a b"]
-    index = overlap.WordIndex.loaded(overlap.WordIndex.built(texts).blobs())
+    texts = [story(rng, 60) for _ in range(300)] + ["a b a b a b a b a b", "a b a b", "x " * 5000]
+    index = textindex.WordIndex(textindex.WordIndex.built(texts).blobs)
     lines = [brute.words(t) for t in texts]
-    for query in ("a b a", "b a b", lines[3][5] + " " + lines[3][6] + " " + lines[3][7], "never seen words"):
+    got, want = index.words_of(np.arange(len(texts))), textcodes.words(texts)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    for query in ("a b a", "b a b", "x x x", " ".join(lines[3][5:8]), "never seen words"):
         hashes, _ = textcodes.words([query])
         low, high = index.runs(index.numbers(hashes), np.array([0]), 3)
         w = query.split()
-        assert high[0] - low[0] == sum(l[i : i + 3] == w for l in lines for i in range(len(l)))
+        place = index.located(np.arange(low[0], high[0]))
+        text = index.texts_at(place)
+        assert sorted(zip(text.tolist(), (place - index.starts[text]).tolist())) == [(k, i) for k, l in enumerate(lines) for i in range(len(l)) if l[i : i + 3] == w]
     hashes, offsets = textcodes.words([" ".join(lines[4][10:31]) + " unseen " + " ".join(lines[7][:5])])
     longest = index.longest(index.numbers(hashes), offsets)
     assert longest[20] == 21 and longest[21] == 0 and longest.max() == 21
 
 
+def test_the_filter_misses_nothing():
+    grams = np.random.default_rng(1).integers(0, 1 << 63, 40_000).astype(np.uint64)
+    held = textindex.Filter(textindex.Filter.built(grams[:20_000]))
+    assert held(grams[:20_000]).all() and held(grams[20_000:]).mean() < 0.08
+    assert not textindex.Filter(textindex.Filter.built(grams[:0]))(grams).any()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 50, 400])
 def test_suffix_array(n):
     line = np.random.default_rng(n).integers(0, 3, n)
-    order = overlap.suffix_array(line)
+    order = textindex.suffix_array(line)
     assert order.tolist() == sorted(range(n), key=lambda i: line[i:].tolist())
 
 

@@ -71,6 +71,16 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(overlap.overlaps(members), members)
 
 
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near texts across splits by representatives, with the matched words."""
+    return overlap.links(_table(spark, sf_dir, "split_member"))
+
+
+def p5_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each judged row with its kinds of overlap and what is matched of it."""
+    return overlap.overlaps(_table(spark, sf_dir, "split_member"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of each document."""
     return encode.token_ids(_table(spark, sf_dir, "documents"))
@@ -105,7 +115,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p3_collapsed, p3_found, p4_found, p4_sample, p5_found, p5_report, p6_ids, p7_containers, p7_found, p8_found, p8_paragraphs, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p3_collapsed, p3_found, p4_found, p4_sample, p5_found, p5_links, p5_report, p5_rows, p6_ids, p7_containers, p7_found, p8_found, p8_paragraphs, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
