@@ -98,8 +98,9 @@ def test_packing_edges(spark):
 def test_evolution_beats_its_start():
     rng = np.random.default_rng(3)
     sizes = rng.integers(250, 500, 400)
-    start = packing.evolved(sizes, [], 1000, np.random.default_rng(0), 0)
-    end = packing.evolved(sizes, [p.copy() for p in start], 1000, np.random.default_rng(0), 300)
+    start, none = packing.evolved(sizes, [], 1000, np.random.default_rng(0), 0)
+    end, done = packing.evolved(sizes, [p.copy() for p in start], 1000, np.random.default_rng(0), 300)
+    assert none == 0 and done == 300
     for p in end:
         assert np.bincount(p, sizes).max() <= 1000 and p.min() == 0 and len(np.unique(p)) == p.max() + 1
     assert packing.fitness(end[0], sizes, 1000) > packing.fitness(start[0], sizes, 1000)
@@ -111,7 +112,7 @@ def test_crossover_keeps_all_items():
     for _ in range(50):
         n = r.randrange(2, 60)
         sizes = rng.integers(1, 100, n)
-        a, b = packing.evolved(sizes, [], 100, rng, 0)[:2]
+        a, b = packing.evolved(sizes, [], 100, rng, 0)[0][:2]
         child = packing.crossed(a, b, sizes, 100, rng)
         assert (child >= 0).all() and np.bincount(child, sizes).max() <= 100
 
@@ -125,3 +126,28 @@ def test_blocks_share_their_last_containers(spark, block_items):
     assert len(loads) <= -(-sum(sizes) // 1024) + 1
     again = packed(spark, sizes, 1024, block_items=block_items).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, rows), key=str)
+
+
+def best_fit_decreasing(sizes, capacity):
+    bins = np.full(len(sizes), -1, np.int64)
+    return len(packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), bins, [], capacity))
+
+
+def test_evolution_beats_best_fit_decreasing():
+    # triplets that fill a container exactly, where best-fit decreasing misses the bound
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(260, 380, 60), rng.integers(260, 380, 60)
+    sizes = np.concatenate([a, b, 1000 - a - b])
+    plain, fewest = best_fit_decreasing(sizes, 1000), packing.least(sizes, 1000)
+    best, done = packing.evolved(sizes, [], 1000, np.random.default_rng(0), 1500, 12)
+    assert fewest == 60 < plain and int(best[0].max()) + 1 < plain and done > 0
+
+
+def test_islands_report_what_they_did(spark):
+    rng = np.random.default_rng(4)
+    sizes = [int(x) for x in rng.integers(150, 520, 900)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, n_tokens bigint")
+    rows = packing.evolution(df, 1024, block_items=300, epochs=3, crossovers=15).collect()
+    assert sum(r["items"] for r in rows) == 900 and all(r["least"] <= r["containers"] <= r["first"] and 0 < r["fill"] <= 1 for r in rows)
+    assert any(r["containers"] < r["first"] for r in rows) and all(r["crossovers"] > 0 for r in rows)
+    assert sum(r["migrations"] for r in rows) > 0
