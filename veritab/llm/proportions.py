@@ -65,12 +65,15 @@ def repaired(supply: np.ndarray, share: np.ndarray, floor: np.ndarray, size: int
 
 def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("label").reset_index(drop=True)
-    floor = rows["min_rows"].fillna(0).clip(lower=0).to_numpy(np.int64)
+    supply, need = rows["supply"].to_numpy(np.int64), rows["need"].to_numpy(float)
+    # a label that can't get what it needs is drawn whole
+    floor = np.where(need > supply, supply, rows["min_rows"].fillna(0).clip(lower=0).to_numpy(np.int64))
     size = int(rows["size"].iloc[0])
     # the config's id as well, so that configs with one seed don't all start alike
     seed = [int(rows["seed"].fillna(0).iloc[0]) & 0xFFFFFFFF, int(rows["config_id"].iloc[0]) & 0xFFFFFFFF]
-    drawn = repaired(rows["supply"].to_numpy(np.int64), rows["share"].to_numpy(float), floor, size, seed)
-    return rows.assign(drawn=drawn)[[c.split()[0] for c in REPORT.split(", ")]]
+    drawn = repaired(supply, rows["share"].to_numpy(float), floor, size, seed)
+    # what the repaired sample lacks although nothing is left to exchange for it
+    return rows.assign(drawn=drawn, unmet=(drawn == supply) & (drawn < need))[[c.split()[0] for c in REPORT.split(", ")]]
 
 
 def pool(records: DataFrame) -> DataFrame:
@@ -85,7 +88,8 @@ def plan(records: DataFrame, configs: DataFrame, targets: DataFrame) -> DataFram
     """The report: for each config and label its supply, need and number drawn.
 
     The need is the larger of min_rows and share x size, null counting as 0, not
-    rounded; ``unmet`` marks the labels whose need exceeds the supply.  Of each
+    rounded; ``unmet`` marks the labels that the repaired sample holds whole and
+    still short of their need, which are those whose need exceeds the supply.  Of each
     config_id the latest row holds; of repeated targets of a label the larger
     values hold.  Records are drawn from the labels named in targets only; a label
     whose share is null fills the sample up.
@@ -98,8 +102,9 @@ def plan(records: DataFrame, configs: DataFrame, targets: DataFrame) -> DataFram
     supply = pool(records).groupBy("dataset_revision", "label").agg(F.count(F.lit(1)).alias("n"))
     rows = configs.join(targets, "config_id").join(supply, ["dataset_revision", "label"], "left").withColumn("supply", F.coalesce("n", F.lit(0)))
     need = F.greatest(F.coalesce("min_rows", F.lit(0)).cast("double"), F.coalesce("share", F.lit(0.0)) * 4 * (F.col("size") / 4))
-    rows = rows.withColumn("need", need).withColumn("unmet", F.col("need") > F.col("supply"))
-    return rows.groupBy("config_id").applyInPandas(_plan, REPORT)
+    # few bytes but much search: as many tasks as there are partitions, whatever the bytes
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("need", need).repartition(tasks, "config_id").groupBy("config_id").applyInPandas(_plan, REPORT)
 
 
 def sample(records: DataFrame, configs: DataFrame, targets: DataFrame, report: DataFrame) -> DataFrame:
