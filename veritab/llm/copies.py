@@ -62,15 +62,21 @@ def copy_sets(records: DataFrame, parts_per_core: int = 4) -> DataFrame:
 
     A key is hot if it has more than 1/(4 x shuffle partitions) of the rows, so
     there are never more hot keys than 4 x partitions and their list can be
-    broadcast.
+    broadcast.  Hot keys of letters are known before any join of rows by key.
     """
     spark = records.sparkSession
     keys = written(copy_keys(records), "copy-keys")
     classes = linked(keys)
-    keys = keys.join(classes, "k1", "left").select("row_id", F.coalesce("class", "k1").alias("class"))
-    counts = keys.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-    share = keys.count() / (parts_per_core * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = F.broadcast(written(counts.where(F.col("n") > max(share, 1000)).select("class"), "copy-hot"))
+    counts = keys.groupBy("k1").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts.join(classes, "k1", "left").select("k1", F.coalesce("class", "k1").alias("class"), "n"), "copy-counts")
+    share = max(1000, (counts.agg(F.sum("n")).first()[0] or 0) / (parts_per_core * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot_letters = F.broadcast(counts.where(F.col("n") > share).select("k1", F.col("class").alias("hot_class")))
+    hot = F.broadcast(counts.groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") > share).select("class"))
+    # most rows are in no linked class: only those that are and aren't hot are joined by key
+    known = keys.select("row_id", "k1").join(hot_letters, "k1", "left")
+    warm_rows = known.where("hot_class is not null").select("row_id", F.col("hot_class").alias("class"))
+    cold_rows = known.where("hot_class is null").select("row_id", "k1").join(classes, "k1", "left").select("row_id", F.coalesce("class", "k1").alias("class"))
+    keys = warm_rows.unionByName(cold_rows)
 
     set_ = Window.partitionBy("class")
     cold = (
