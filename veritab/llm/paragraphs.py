@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from veritab.llm import neardup
-from veritab.session import written
+from veritab.llm.groups import components
 
 #: Fewer bands than for a lower similarity give the same recall: 18 of 5 rows.
 MOST_BANDS = 20
@@ -45,24 +45,6 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(_cut, PARAGRAPHS)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of (a, b) reaches.
-
-    Labels are passed to neighbours and then looked up at the label itself, which
-    about halves what is left of a chain each round; every round is a written table.
-    """
-    both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "components")
-    while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        passed = labels.join(heard, "node").select("node", "component", F.least("component", "heard").alias("label"))
-        jumped = passed.join(labels.select(F.col("node").alias("label"), F.col("component").alias("next")), "label", "left")
-        now = written(jumped.select("node", F.col("component").alias("before"), F.least("label", F.coalesce("next", "label")).alias("component")), "components")
-        labels = now.select("node", "component")
-        if now.where("before <> component").isEmpty():
-            return labels
-
-
 def duplicate_paragraphs(documents: DataFrame) -> DataFrame:
     """(doc_id, start, stop, component, removed): the paragraphs that have a near one.
 

@@ -39,6 +39,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(_table(spark, sf_dir, "example"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with its class of copies and the number of classes near to it."""
+    return neardup.near_classes(_table(spark, sf_dir, "example"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of records that near pairs connect."""
+    return neardup.near_groups(_table(spark, sf_dir, "example"))
+
+
 def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record of each set of copies with the number of records it stands for."""
     return copies.collapsed(copies.copy_sets(_table(spark, sf_dir, "example")))
@@ -86,11 +96,20 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.token_ids(_table(spark, sf_dir, "documents"))
 
 
-def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The container of each part of each document."""
+def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     spec = _table(spark, sf_dir, "pack_spec").orderBy("spec_id").first()
     sizes = encode.token_counts(_table(spark, sf_dir, "documents"), encode.tokenizer_path(spec["tokenizer"]))
-    return packing.packed(written(sizes, "sizes"), spec["capacity_tokens"])
+    return written(sizes, "sizes"), spec["capacity_tokens"]
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each part of each document."""
+    return packing.packed(*_sizes(spark, sf_dir))
+
+
+def p7_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bound, start, crossovers, migrations and result of each block."""
+    return packing.evolution(*_sizes(spark, sf_dir))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +134,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p3_collapsed, p3_found, p4_found, p4_sample, p5_found, p5_links, p5_report, p5_rows, p6_ids, p7_containers, p7_found, p8_found, p8_paragraphs, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_classes, p2_found, p2_groups, p3_collapsed, p3_found, p4_found, p4_sample, p5_found, p5_links, p5_report, p5_rows, p6_ids, p7_containers, p7_evolution, p7_found, p8_found, p8_paragraphs, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
