@@ -1,6 +1,8 @@
+import base64
 import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +34,52 @@ def test_ids_equal_the_librarys(spark, small):
     assert counts == {i: len(v) for i, v in rows.items()}
 
 
+def encoded(path, texts):
+    with open(path, "rb") as f:
+        index = encode.PairIndex(path, f.read())
+    store, words = encode.Store(index), index.pretokens(texts)
+    store.learn(words)
+    return [[i for w in t for i in np.frombuffer(store[w], np.int32).tolist()] for t in words]
+
+
+MORE = ["Hello World, it's 2024", "ΣΑΣ ΟΔΟΣ Σ", "İstanbul ǅ ﬁ", "e\u0301 \u1100\u1161 \u212b", "abcabcabab aaa ababab" * 30, "x\u3000y\u00a0z"]
+
+
+def test_word_ends(small):
+    from tokenizers import Tokenizer
+
+    path = encode.tokenizer_path("word_bpe_49k")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    texts = TEXTS[2:-1] + MORE + [x for x in duckdb.sql(f"select text from '{small}/documents.parquet' where text is not null").fetchnumpy()["text"]]
+    texts = [x for x in texts if x is not None]
+    assert encoded(path, texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k", "byte_bpe_multi_50k"])
+def test_ranks(small, name):
+    import tiktoken
+
+    path = f"{encode.TOKENIZERS}/{name}.tiktoken"
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    other = tiktoken.Encoding("own", pat_str=encode.PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+    texts = [x for x in TEXTS[:-1] if x] + MORE + [x for x in duckdb.sql(f"select text from '{small}/documents.parquet' where text is not null").fetchnumpy()["text"]]
+    assert encoded(path, texts) == [other.encode_ordinary(x) for x in texts]
+
+
+def test_unsupported_files_are_refused(tmp_path, spark):
+    import json
+
+    file = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": None}, {"model": file["model"] | {"byte_fallback": True}}, {"model": file["model"] | {"end_of_word_suffix": "</w>"}}, {"model": file["model"] | {"type": "WordPiece"}}):
+        with pytest.raises(ValueError, match="supported"):
+            encode.PairIndex("x.json", json.dumps(file | change).encode())
+    (tmp_path / "x.model").write_bytes(b"")
+    with pytest.raises(ValueError, match="supported"):
+        encode.token_ids(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), str(tmp_path / "x.model"))
+
+
 def test_round_trip_and_odd_tables(spark):
     from tokenizers import Tokenizer
 
@@ -47,7 +95,8 @@ def test_round_trip_and_odd_tables(spark):
 
 def test_the_store_starts_anew_when_full(monkeypatch):
     monkeypatch.setattr(encode, "MOST_KEPT", 5)
-    store = encode.Store(PATH)
+    with open(PATH, "rb") as f:
+        store = encode.Store(encode.PairIndex(PATH, f.read()))
     for text in ("a b c d", "e f g h", "a b"):
         store.learn([text.split()])
         assert all(w in store for w in text.split()) and len(store) <= 5
