@@ -140,6 +140,52 @@ def test_crowded_bands_lose_nothing(spark, monkeypatch):
     assert {tuple(sorted((place[a], place[b]))) for a, b in truth} <= exact
 
 
+@pytest.mark.parametrize("seed", [3, 5])
+def test_near_groups_and_classes(spark, seed):
+    rows = fixture(seed, 40)
+    truth = {tuple(r) for r in neardup.near_pairs(wide(spark, rows)).collect()}
+    neighbours = {}
+    for a, b in truth:
+        neighbours.setdefault(a, set()).add(b)
+        neighbours.setdefault(b, set()).add(a)
+    groups = {}
+    for i in sorted(neighbours):
+        waiting = [i] if i not in groups else []
+        while waiting:
+            j = waiting.pop()
+            if j not in groups:
+                groups[j] = i
+                waiting += neighbours[j]
+    assert {tuple(r) for r in neardup.near_groups(wide(spark, rows)).collect()} == set(groups.items()) and len(groups) > 20
+    classes = neardup.near_classes(wide(spark, rows)).collect()
+    assert {r["row_id"] for r in classes} == {i for i, t in rows if i is not None and t is not None and len(brute.words(t)) >= 3}
+    assert {r["row_id"] for r in classes if r["n_links"]} == set(neighbours)
+    assert len({r["class_row_id"] for r in classes}) == len({(tuple(brute.words(t)), brute.fields(t)) for i, t in rows if i is not None and t is not None and len(brute.words(t)) >= 3})
+    assert neardup.near_groups(spark.createDataFrame([], TEXT)).count() == 0
+
+
+def test_a_class_in_a_third_of_the_rows(spark):
+    rng = random.Random(3)
+    hot, other = story(rng, 30), story(rng, 30)
+    near = hot + " epilogue"
+    texts = {f"h{i:04d}": hot for i in range(1500)} | {f"o{i:04d}": story(rng, 8) for i in range(1500)} | {"n0": near, "n1": near.upper(), "z": other}
+    found = neardup.near_pairs(spark.createDataFrame(list(texts.items()), TEXT)).collect()
+    assert {tuple(r) for r in found} >= {(f"h{i:04d}", n) for i in range(1500) for n in ("n0", "n1")} and len(found) == 3000
+    groups = neardup.near_groups(spark.createDataFrame(list(texts.items()), TEXT)).collect()
+    assert {r["group"] for r in groups} == {"h0000"} and len(groups) == 1502
+
+
+def test_a_template_below_the_threshold(spark):
+    # 50,000 texts of one template; all pairs of it would be 1.25 billion
+    rng = np.random.default_rng(1)
+    template = " ".join(f"t{i}" for i in range(40))
+    own = rng.integers(0, 1 << 40, (50_000, 45))
+    texts = [f"{template} " + " ".join(f"w{x:x}" for x in r) for r in own.tolist()]
+    texts[7] = texts[11] + " more"
+    df = spark.createDataFrame([(f"{i:05d}", t) for i, t in enumerate(texts)], TEXT)
+    assert [tuple(r) for r in neardup.near_pairs(df).collect()] == [("00007", "00011")]
+
+
 def test_banding():
     assert neardup.banding(0.6) == (50, 4)
     for s in (0.5, 0.6, 0.8, 0.95):

@@ -23,8 +23,12 @@ SPAN = 160
 GRAM = 64
 BATCH = 1 << 18
 #: One document in PART is looked at first; what HOT or more of these share is hot.
-#: The lists of hot blocks and passages have at most MOST_HOT entries.
+#: The lists of hot blocks and passages have the MOST_HOT most frequent, or four for
+#: each part if that is more: what isn't among them has less than a quarter of an
+#: average part's records and goes the ordinary way, which is exact as well.
 PART, HOT, MOST_HOT = 64, 8, 20_000
+#: Blocks or passages that one task compares.
+PART_RECORDS = 2_000_000
 PIECES = "doc_id bigint, start int, stop int, kind int"
 #: Kinds of pieces: a run of passages that are shared; an edge block to be compared
 #: by passages; a block known to be in two documents, to be compared with edges.
@@ -289,7 +293,11 @@ def shared_spans(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> Da
     spark = documents.sparkSession
     if not 1 <= gram <= span:
         raise ValueError("gram must be between 1 and span")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def parts_for(records: int) -> int:
+        return min(1 << 20, max(least_parts, -(-records // PART_RECORDS)))
+
     texts = documents.select(F.col("doc_id").cast("bigint"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= span))
 
     def in_part(df: DataFrame) -> DataFrame:
@@ -299,9 +307,12 @@ def shared_spans(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> Da
     stats = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")]
     blocks = in_part(texts).mapInArrow(_sampled_blocks(span, gram), "low bigint, print bigint, doc_id bigint, start int, size int")
     blocks = written(blocks, "span-part")
+    # as many parts as the records need, however many partitions the session has
+    parts = parts_for(blocks.count() * PART)
+    most_hot = max(MOST_HOT, 4 * parts)
     one = F.min(F.struct("doc_id", "start", "size")).alias("one")
-    top_prints = blocks.groupBy("low", "print").agg(*stats, one).where(several).orderBy(F.desc("n"), "print").limit(MOST_HOT).collect()
-    top_lows = blocks.groupBy("low").agg(*stats).where(several).orderBy(F.desc("n"), "low").limit(MOST_HOT).collect()
+    top_prints = blocks.groupBy("low", "print").agg(*stats, one).where(several).orderBy(F.desc("n"), "print").limit(most_hot).collect()
+    top_lows = blocks.groupBy("low").agg(*stats).where(several).orderBy(F.desc("n"), "low").limit(most_hot).collect()
     hot_prints = np.array([r["print"] for r in top_prints], np.int64).view(_U64)
     hot_lows = np.array(sorted({r["low"] for r in [*top_prints, *top_lows]}), np.int64).view(_U64)
 
@@ -314,9 +325,10 @@ def shared_spans(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> Da
     lists = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "kind")).alias("pieces"))
     edges = texts.join(lists, "doc_id").select("doc_id", "text", "pieces")
     hot = np.zeros(0, _U64)
+    parts = parts_for(open_.agg(F.sum(F.col("stop") - F.col("start") - span + 1).cast("bigint")).first()[0] or 0)
     if len(hot_lows):
         passages = in_part(texts).join(in_part(lists), "doc_id").select("doc_id", "text", "pieces").mapInArrow(_sampled_passages(span), "h bigint, doc_id bigint")
-        top = passages.groupBy("h").agg(*stats).where(several).orderBy(F.desc("n"), "h").limit(MOST_HOT).select("h").collect()
+        top = passages.groupBy("h").agg(*stats).where(several).orderBy(F.desc("n"), "h").limit(max(MOST_HOT, 4 * parts)).select("h").collect()
         hot = np.array([r["h"] for r in top], np.int64).view(_U64)
     found = edges.mapInArrow(_passage_chunks(span, parts, hot), CHUNKS).repartitionById(parts, F.pmod("part", F.lit(parts))).mapInArrow(_matched(span), PIECES)
     return merged(pieces.where(F.col("kind") == SHARED).unionByName(found).select("doc_id", "start", "stop"))
