@@ -118,7 +118,7 @@ def scientific(log10: Column) -> Column:
 
 def parameter_text(trainable: Column, percent: Column, total: Column) -> Column:
     """``1,234 (0.1234% of 1,000,000)``; null where the numbers contradict each other."""
-    exact = F.lit(100.0) * trainable / total
+    exact = F.lit(100.0) * trainable / F.nullif(total, F.lit(0))
     fits = (trainable > 0) & (total >= trainable) & (percent > 0) & (F.abs(percent - exact) <= 1e-6 * F.greatest(F.abs(percent), F.abs(exact)))
     text = F.concat(F.format_number(trainable, 0), F.lit(" ("), F.format_string("%.4f", percent.cast("double")), F.lit("% of "), F.format_number(total, 0), F.lit(")"))
     return F.when(fits, text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veritab.errors import EvidenceError
 
@@ -54,6 +54,16 @@ def warmup_steps(ratio: float, steps: int) -> int:
     return max(1, round(ratio * steps))
 
 
+def steps_of(rows: Column, per_device: int, accumulation: int, epochs: int) -> Column:
+    """optimizer_steps() of a column of row counts."""
+    return (F.ceil(rows.cast("double") / (per_device * accumulation)) * epochs).cast("bigint")
+
+
+def warmup_of(ratio: float, steps: Column) -> Column:
+    """warmup_steps() of a column of steps."""
+    return F.greatest(F.lit(1).cast("bigint"), F.bround(F.lit(ratio) * steps).cast("bigint"))
+
+
 #: Arguments that don't change what is learned.
 COSMETIC = frozenset({"logging_steps", "report_to", "save_strategy", "remove_unused_columns"})
 

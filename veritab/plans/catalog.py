@@ -15,8 +15,8 @@ from veritab.functions import text as T
 from veritab.functions.scores import log_loss
 from veritab.operators import calibration, compare, digests, ingest, leaks, manifest, metrics, paired, resample, selection, splits, tokens, trees
 from veritab.operators.parameters import parameter_report as parameters_of
-from veritab.plans import inputs as I
-from veritab.sources import files
+from veritab.plans import blocks, inputs as I
+from veritab.sources import files, scorer
 from veritab.streaming import leaks as streaming_leaks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -244,6 +244,38 @@ def nearest_rank(spark, sf_dir):
     return both.withColumn("source", F.nullif("source", F.lit("\0")))
 
 
+@query(
+    f"""with {I.CORPUS}, v as (select row_id, regexp_replace(regexp_replace('<|system|>' || chr(10) || '{T.SYSTEM_PROMPT}' || chr(10) || '<|user|>' || chr(10) || 'Article:' || chr(10) || {I.NORM}
+      || chr(10) || chr(10) || 'Topic code:' || chr(10) || '<|assistant|>' || chr(10), '[{T.SPACE}]+', ' ', 'g'), '^ | $', '', 'g') as prompt from corpus)
+    select row_id, array_to_string(list_transform(string_split(prompt, ' '), lambda w: case when w in ('A', 'B', 'C', 'D') then 10 + ascii(w) - 65 else 20 + ('0x' || substr(sha256(w), 1, 4))::int end), ',') as ids from v"""
+)
+def prompt_token_ids(spark, sf_dir):
+    ids = scorer.prompt_ids(scorer.HashTokenizer())
+    return I.corpus(spark, sf_dir, texts=True).select("row_id", joined(ids(T.render_chat(T.inference_messages(F.col("text"))))).alias("ids"))
+
+
+@query(
+    """select config_id, seed, steps, greatest(1, round_even(0.03::double * steps, 0))::bigint as warmup from (
+      select config_id, seed, (ceil(4 * train_per_class / 16.0::double) * 2)::bigint as steps from data_config)"""
+)
+def training_steps(spark, sf_dir):
+    steps = selection.steps_of(4 * F.col("train_per_class"), 2, 8, 2)
+    return I.table(spark, sf_dir, "data_config").select("config_id", "seed", steps.alias("steps"), selection.warmup_of(0.03, steps).alias("warmup"))
+
+
+@query("select p_partkey, case when p_size > 1 and p_partkey > 0 then format('{:,}', p_partkey) || ' (' || printf('%.4f', 100.0::double * p_partkey / (p_partkey * p_size)) || '% of ' || format('{:,}', p_partkey * p_size) || ')' end as line from part")
+def parameter_line(spark, sf_dir):
+    """Trainable parameters as a report says them; null where the share contradicts the counts."""
+    key, total = F.col("p_partkey"), F.col("p_partkey") * F.col("p_size")
+    percent = F.when(F.col("p_size") > 1, F.lit(100.0) * key / total).otherwise(F.lit(50.0))
+    return I.table(spark, sf_dir, "part").select("p_partkey", T.parameter_text(key, percent, total).alias("line"))
+
+
+@query("select p_partkey, regexp_replace(round(pow(10.0::double, l - floor(l)), 11)::varchar, '\\.0$', '') || 'e' || floor(l)::bigint as text from (select p_partkey, p_partkey * -0.37::double as l from part)")
+def scientific_text(spark, sf_dir):
+    return I.table(spark, sf_dir, "part").select("p_partkey", T.scientific(F.col("p_partkey") * F.lit(-0.37)).alias("text"))
+
+
 IDS = f"list_transform(string_split({I.NORM}, ' '), lambda w: 20 + ('0x' || substr(sha256(w), 1, 4))::int)"
 
 
@@ -302,6 +334,14 @@ def supervised_loss(spark, sf_dir):
 # Scores and metrics
 
 
+@query(f"with {I.logits_sql()} select pos, label, {', '.join(f'z[{k + 1}]::double as z{k}' for k in range(4))} from logits where system = 'tuned'")
+def attached_labels(spark, sf_dir):
+    """Scores and labels that match row for row."""
+    rows = I.logits(spark, sf_dir).where("system = 'tuned'")
+    both = blocks.attached(rows.select("pos", "z"), rows.select("pos", "label"))
+    return both.select("pos", "label", *[F.col("z")[k].cast("double").alias(f"z{k}") for k in range(4)])
+
+
 @query(f"with {I.logits_sql()}, {I.scores_sql()} select system, pos, {', '.join(r(f'p[{k + 1}]', f'p{k}') for k in range(4))} from scored")
 def softmax(spark, sf_dir):
     rows = metrics.scored(I.logits(spark, sf_dir))
@@ -462,11 +502,13 @@ def paired_counts(spark, sf_dir):
     f"""with {PAIRS}, k as (select {COUNTS} from pairs), b as (select fixed, broken, fixed + broken as n, least(fixed, broken) as m from k),
     t as (select n, m, fixed, broken, list_transform(range(m + 1), lambda i: lgamma(n + 1) - (case when i = 0 then 0 else lgamma(i + 1) end) - (case when i = n then 0 else lgamma(n - i + 1) end) - n * ln(2)) as terms from b),
     s as (select *, list_max(terms) + ln(list_sum(list_transform(terms, lambda x: exp(x - list_max(terms))))) + ln(2) as tail from t)
-    select n as discordant, round((abs(fixed - broken) - 1) ** 2 / n, 6) as chi_square, round(least(0.0, tail / ln(10)), 6) as log10_p from s"""
+    select n as discordant, round((abs(fixed - broken) - 1) ** 2 / n, 6) as chi_square, round(least(0.0, tail / ln(10)), 6) as log10_p, round(exp(least(0.0, tail)), 8) as p,
+      floor(least(0.0, tail / ln(10)))::bigint as exponent from s"""
 )
 def mcnemar(spark, sf_dir):
     out = paired.mcnemar(paired.paired_counts(_pairs(spark, sf_dir)))
-    return out.select("discordant", F.round("chi_square", 6).alias("chi_square"), F.round("log10_p", 6).alias("log10_p"))
+    exponent = F.split("p_text", "e")[1].cast("bigint")
+    return out.select("discordant", F.round("chi_square", 6).alias("chi_square"), F.round("log10_p", 6).alias("log10_p"), F.round("p", 8).alias("p"), exponent.alias("exponent"))
 
 
 @query("select (l_linenumber % 4)::bigint as grp, count(*) filter (where l_partkey % 10 >= 7 and l_suppkey % 20 < 18) + count(*) filter (where l_partkey % 10 < 7 and l_suppkey % 20 >= 18) as discordant from lineitem group by 1")
@@ -567,21 +609,60 @@ def array_digest(spark, sf_dir):
     return digests.array_digest(I.logits(spark, sf_dir), ["system"])
 
 
-@query("select event_id, 'k' as path, 'int' as kind, regexp_extract(props, '-?[0-9]+') as value from events where props is not null")
+def _tree(moved: str = "0", named: str = "true", added: str = "''") -> str:
+    """A JSON text with objects in objects, a list, a null, an empty object and one value of each kind; the same in both engines."""
+    return f"""concat('{{"id": ', event_id, ', "p": ', coalesce(props, 'null'), ', "l": [1, ', event_id % 5 + {moved}, '], "b": ', case when event_id % 2 = 0 then 'true' else 'false' end, ', "n": null, "e": {{}}',
+      case when {named} then concat(', "s": "x', event_id % 3, '"') else '' end, ', "d": {{"in": {{"f": ', event_id % 8, '.5}}}}', {added}, '}}')"""
+
+
+CHANGED = ("case when event_id % 7 = 0 then 1 else 0 end", "event_id % 11 <> 0", "case when event_id % 13 = 0 then ', \"z\": 1' else '' end")
+LEAVES = """unnest([{{'path': 'id', 'kind': 'int', 'value': event_id::varchar}}, {{'path': case when props is null then 'p' else 'p.k' end, 'kind': case when props is null then 'null' else 'int' end, 'value': regexp_extract(props, '-?[0-9]+')}},
+    {{'path': 'l', 'kind': 'list', 'value': '[1,' || (event_id % 5)::varchar || ']'}}, {{'path': 'b', 'kind': 'bool', 'value': (event_id % 2 = 0)::varchar}}, {{'path': 'n', 'kind': 'null', 'value': null}},
+    {{'path': 's', 'kind': 'text', 'value': '"x' || (event_id % 3)::varchar || '"'}}, {{'path': 'd.in.f', 'kind': 'float', 'value': (event_id % 8)::varchar || '.5'}}])"""
+
+
+@query(f"select event_id, x.path as path, x.kind as kind, x.value as value from (select event_id, {LEAVES.format()} as x from events)")
 def flatten_json(spark, sf_dir):
-    return trees.flatten_json(I.table(spark, sf_dir, "events"), "event_id", "props")
+    texts = I.table(spark, sf_dir, "events").select("event_id", F.expr(_tree()).alias("tree"))
+    return trees.flatten_json(texts, "event_id", "tree")
 
 
 @query(
-    """with v as (select event_id, regexp_extract(props, '-?[0-9]+') as a from events where props is not null),
-    b as (select event_id, case when event_id % 7 = 0 then (a::bigint + 1)::varchar else a end as b from v where event_id % 11 <> 0)
-    select event_id, 'k' as path, a as left_value, b as right_value, case when b is null then 'missing' else 'different' end as reason
-    from v left join b using (event_id) where b is null or a <> b"""
+    """select event_id, 'l' as path, '[1,' || (event_id % 5)::varchar || ']' as left_value, '[1,' || (event_id % 5 + 1)::varchar || ']' as right_value, 'different' as reason from events where event_id % 7 = 0
+    union all select event_id, 's', '"x' || (event_id % 3)::varchar || '"', null, 'missing' from events where event_id % 11 = 0
+    union all select event_id, 'z', null, '1', 'unexpected' from events where event_id % 13 = 0"""
 )
 def tree_diff(spark, sf_dir):
-    left = trees.flatten_json(I.table(spark, sf_dir, "events"), "event_id", "props")
-    moved = F.when(F.col("event_id") % 7 == 0, (F.col("value").cast("bigint") + 1).cast("string")).otherwise(F.col("value"))
-    return trees.tree_diff(left, left.where(F.col("event_id") % 11 != 0).withColumn("value", moved), ["event_id"])
+    events = I.table(spark, sf_dir, "events")
+    left, right = (trees.flatten_json(events.select("event_id", F.expr(t).alias("tree")), "event_id", "tree") for t in (_tree(), _tree(*CHANGED)))
+    return trees.tree_diff(left, right, ["event_id"])
+
+
+def _prices(spark: SparkSession, sf_dir: str, gap: Column) -> list[DataFrame]:
+    """Leaf tables of order prices and, on the other side, prices moved by a gap."""
+    price = F.col("o_totalprice").cast("double")
+    rows = I.table(spark, sf_dir, "orders").select("o_orderkey", price.alias("price"))
+    return [rows.select("o_orderkey", F.lit("price").alias("path"), F.lit("float").alias("kind"), v.cast("string").alias("value")) for v in (F.col("price"), gap)]
+
+
+def _gap(step: float) -> Column:
+    return F.element_at(F.array(*[F.lit(g * step) for g in (0.0, 5e-10, 2e-9, 0.5)]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+
+
+@query("select o_orderkey, 'price' as path, 'different' as reason from orders where o_orderkey % 4 >= 2")
+def tree_close_relative(spark, sf_dir):
+    """Floats within a relative 1e-9 of each other are equal."""
+    left, right = _prices(spark, sf_dir, F.col("price") * (1 + _gap(1.0)))
+    return trees.tree_diff(left, right, ["o_orderkey"], relative=trees.TOLERANCE).select("o_orderkey", "path", "reason")
+
+
+@query("select o_orderkey, 'price' as path, 'different' as reason from orders where o_orderkey % 4 >= 2")
+def tree_close_absolute(spark, sf_dir):
+    """Floats within an absolute 1e-9 of each other are equal; shares of the price are compared."""
+    left, right = _prices(spark, sf_dir, F.col("price"))
+    share = (F.col("value").cast("double") / 1e6)
+    left, right = left.withColumn("value", share.cast("string")), right.withColumn("value", (share + _gap(1.0)).cast("string"))
+    return trees.tree_diff(left, right, ["o_orderkey"], absolute=trees.TOLERANCE).select("o_orderkey", "path", "reason")
 
 
 @query(
@@ -602,21 +683,32 @@ def config_diff(spark, sf_dir):
     return trees.tree_diff(*sides, ["revision"]).select("revision", "path", "left_value", "right_value")
 
 
-def _report(rank: int, packages: dict, score: float) -> dict:
-    return {
-        "environment": {"packages": packages, "gpu_name": "T4"}, "config": {"lora": {"rank": rank}, "data": {"seed": 73}}, "validation_label_sha256": "0" * 64,
-        "epochs": [{"epoch": 1, "validation": {"macro_f1": score - 0.01}}, {"epoch": 2, "validation": {"macro_f1": score}}], "selection": {"selected_epoch": 2},
-    }
+RUN_PAIRS = """c as (select config_id, dataset_revision as revision, max(seed) as seed, max(train_per_class) as train, max(validation_per_class) as validation, max(validation_start_per_class) as start,
+    max(publisher_test_rows) as library, max(dataset_name) as gpu from data_config where dataset_revision is not null group by all),
+  d as (select revision, min(config_id) as a, max(config_id) as b from c group by all having min(config_id) < max(config_id)),
+  p as (select d.revision as revision, (l.library is distinct from r.library)::bigint as library_changes, (l.validation is distinct from r.validation)::bigint + (l.start is distinct from r.start)::bigint as unexpected_changes,
+    2 - (l.seed is distinct from r.seed)::bigint - (l.train is distinct from r.train)::bigint as missing_changes, coalesce(l.gpu = r.gpu, false) as gpu_matches
+    from d join c l on l.config_id = d.a and l.revision = d.revision join c r on r.config_id = d.b and r.revision = d.revision)"""
 
 
 @query(
-    """select * from (values ('rank only', true, 0::bigint), ('library too', false, 1), ('nothing changed', false, 1)) t(comparison, controlled, reasons)"""
+    f"""with {RUN_PAIRS} select revision, 0::bigint as host_changes, library_changes, unexpected_changes, missing_changes, gpu_matches, true as labels_match,
+    library_changes = 0 and unexpected_changes = 0 and missing_changes = 0 and gpu_matches as controlled from p"""
 )
 def compare_runs(spark, sf_dir):
-    base = _report(16, {"numpy": "2.0", "torch": "2.4"}, 0.93)
-    variants = {"rank only": _report(4, {"numpy": "2.0", "torch": "2.5"}, 0.935), "library too": _report(4, {"numpy": "2.1", "torch": "2.4"}, 0.935), "nothing changed": _report(16, {"numpy": "2.0", "torch": "2.4"}, 0.93)}
-    found = {n: compare.compare_runs(base, v, {"lora.rank"}) for n, v in variants.items()}
-    return spark.createDataFrame([(n, c["controlled"], len(compare.reasons(c))) for n, c in found.items()], "comparison string, controlled boolean, reasons bigint")
+    """First and last config of each revision as runs: seed and train_per_class are meant to change."""
+    leaves = {
+        "config.seed": ("int", F.max("seed")), "config.train_per_class": ("int", F.max("train_per_class")), "config.validation_per_class": ("int", F.max("validation_per_class")),
+        "config.validation_start_per_class": ("int", F.max("validation_start_per_class")), "environment.packages.publisher": ("int", F.max("publisher_test_rows")),
+        compare.GPU: ("text", F.max("dataset_name")), compare.LABELS: ("text", F.max("dataset_revision")),
+    }
+    rows = I.table(spark, sf_dir, "data_config").where("dataset_revision is not null").groupBy("config_id", F.col("dataset_revision").alias("revision"))
+    rows = rows.agg(*[v.cast("string").alias(f"l{k}") for k, (_, v) in enumerate(leaves.values())])
+    each = [F.struct(F.lit(path).alias("path"), F.lit(kind).alias("kind"), F.col(f"l{k}").alias("value")) for k, (path, (kind, _)) in enumerate(leaves.items())]
+    flat = rows.select("config_id", "revision", F.explode(F.array(*each)).alias("x")).select("config_id", "revision", "x.*").where("value is not null")
+    ends = rows.groupBy("revision").agg(F.min("config_id").alias("a"), F.max("config_id").alias("b")).where("a < b")
+    sides = [flat.join(ends.select("revision", F.col(s).alias("config_id")), ["revision", "config_id"]).drop("config_id") for s in "ab"]
+    return compare.run_flags(*sides, ["revision"], ["seed", "train_per_class"])
 
 
 @query()
