@@ -24,6 +24,12 @@ P1 = f"""with {HELD}, pool as (select distinct dataset_revision as revision, lab
   select config_id, label from wanted join held using (config_id) left join supply using (revision, label)
   where greatest(coalesce(min_rows, 0)::double, coalesce(share, 0) * size) > coalesce(n, 0)"""
 
+P1_NEEDS = f"""with {HELD}, pool as (select distinct dataset_revision as revision, label, row_id from example where {FILLED} and label is not null and row_id is not null),
+  supply as (select revision, label, count(*) as n from pool group by all),
+  wanted as (select config_id, label, max(target_share) as share, max(min_rows) as min_rows from class_target where label is not null group by all),
+  needs as (select config_id, label, coalesce(n, 0) as supply, greatest(coalesce(min_rows, 0)::double, coalesce(share, 0) * size) as need from wanted join held using (config_id) left join supply using (revision, label))
+  select config_id, label, supply, round(need, 6) as need, need > supply as unmet from needs"""
+
 P2 = f"""with one as (select row_id, any_value(text) as text from example where text is not null and row_id is not null group by row_id),
   r as (select row_id, {KEYS}, {WORDS} as w from one), s as (select row_id, k1, k2, {GRAMS} as grams from r where len(w) >= 3),
   g as (select row_id, unnest(grams) as gram from s),
@@ -31,12 +37,24 @@ P2 = f"""with one as (select row_id, any_value(text) as text from example where
   select x as row_id_a, y as row_id_b from shared join s a on a.row_id = x join s b on b.row_id = y
   where n * 5 >= 3 * (len(a.grams) + len(b.grams) - n) and a.k1 <> b.k1 and (a.k2 is null or b.k2 is null or a.k2 <> b.k2)"""
 
-P3 = f"""with one as (select distinct row_id, {KEYS} from example where {FILLED} and row_id is not null),
+P2_GROUPS = f"""with recursive pairs as ({P2}), edges as (select row_id_a as a, row_id_b as b from pairs union all select row_id_b, row_id_a from pairs),
+  reach(a, b) as (select distinct a, a from edges union select reach.a, edges.b from reach join edges on reach.b = edges.a)
+  select a as row_id, min(b) as "group" from reach group by a"""
+
+P2_CLASSES = f"""with pairs as ({P2}), one as (select row_id, any_value(text) as text from example where text is not null and row_id is not null group by row_id),
+  r as (select row_id, {KEYS}, {WORDS} as w from one), c as (select row_id, array_to_string(w, ' ') || chr(1) || coalesce(k2, '') as class from r where len(w) >= 3),
+  edges as (select row_id_a as a, row_id_b as b from pairs union all select row_id_b, row_id_a from pairs),
+  links as (select x.class as class, count(distinct y.class) as n from edges join c x on x.row_id = a join c y on y.row_id = b group by x.class)
+  select row_id, min(row_id) over (partition by class) as class_row_id, coalesce(n, 0)::bigint as n_links from c left join links using (class)"""
+
+P3_SETS = f"""with one as (select distinct row_id, {KEYS} from example where {FILLED} and row_id is not null),
   a as (select *, coalesce(min(k1) over (partition by k2), k1) as l from one where k2 is not null union all select *, k1 as l from one where k2 is null),
   b as (select *, min(l) over (partition by k1) as m from a),
   c as (select *, case when k2 is null then m else min(m) over (partition by k2) end as o from b),
   d as (select *, min(o) over (partition by k1) as class from c)
-  select first_row_id, row_id from (select distinct row_id, min(row_id) over (partition by class) as first_row_id from d) where first_row_id <> row_id"""
+  select distinct row_id, min(row_id) over (partition by class) as first_row_id from d"""
+P3 = f"select first_row_id, row_id from ({P3_SETS}) where first_row_id <> row_id"
+P3_COLLAPSED = f"select first_row_id as row_id, count(*) as n_records from ({P3_SETS}) group by first_row_id"
 
 CLEAN = f"nullif(lower(regexp_replace(row_id, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), '')"
 
@@ -48,15 +66,19 @@ P4 = f"""with m as (select config_id, seed, release_no, {CLEAN} as id, source_in
   select distinct r.config_id as config_id, r.release_no as release_no, d.row_id as row_id from releases r join drawn d on r.config_id = d.config_id and r.seed = d.seed and d.release_no < r.release_no
   where not exists (select 1 from drawn x where x.config_id = r.config_id and x.seed = r.seed and x.release_no = r.release_no and x.row_id = d.row_id)"""
 
-P5 = f"""with m as (select lower(regexp_replace(split, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')) as split, row_id, text from split_member),
+P5_FLAGS = f"""m as (select lower(regexp_replace(split, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')) as split, row_id, text, source from split_member),
   k as (select distinct split, row_id, case when {FILLED} then text end as text from m where split in ('train', 'validation', 'test')),
   r as (select row_number() over () as i, split, row_id, case when text is not null then regexp_replace(lower(text), '[^{LN}]+', '', 'g') end as k1, {FIELDS} as k2, {WORDS} as w from k),
   s as (select i, split, {GRAMS} as grams from r where len(w) >= 3), g as (select i, split, unnest(grams) as gram from s),
   shared as (select b.i as i, count(*) as n, len(any_value(t.grams)) as nt, len(any_value(j.grams)) as nj from g a join g b on a.gram = b.gram and a.split = 'train' and b.split <> 'train'
-    join s t on t.i = a.i join s j on j.i = b.i group by a.i, b.i)
-  select distinct split, row_id from r where split <> 'train' and row_id is not null and (
-    row_id in (select row_id from r where split = 'train' and row_id is not null) or k1 in (select k1 from r where split = 'train' and k1 is not null)
-    or k2 in (select k2 from r where split = 'train' and k2 is not null) or i in (select i from shared where n * 5 >= 3 * (nt + nj - n)))"""
+    join s t on t.i = a.i join s j on j.i = b.i group by a.i, b.i),
+  flags as (select split, row_id, bool_or(row_id in (select row_id from r where split = 'train' and row_id is not null)) as same_row,
+    bool_or(coalesce(k1 in (select k1 from r where split = 'train' and k1 is not null), false) or coalesce(k2 in (select k2 from r where split = 'train' and k2 is not null), false)) as copy,
+    bool_or(i in (select i from shared where n * 5 >= 3 * (nt + nj - n))) as near from r where split <> 'train' and row_id is not null group by all)"""
+P5 = f"with {P5_FLAGS} select split, row_id from flags where same_row or copy or near"
+P5_REPORT = f"""with {P5_FLAGS}, sources as (select distinct split, row_id, source from m)
+  select split, source, count(*) as n_rows, count(*) filter (where same_row) as n_same_row, count(*) filter (where copy) as n_copy, count(*) filter (where near) as n_near,
+    count(*) filter (where same_row or copy or near) as n_found from flags join sources using (split, row_id) group by split, source"""
 
 P8 = """with d as (select doc_id, text from documents where doc_id is not null and length(text) >= 160),
   p as (select doc_id, text, unnest(range(length(text) - 159)) as s from d), q as (select doc_id, s, hash(substr(text, s + 1, 160)) as h from p),
@@ -66,4 +88,7 @@ P8 = """with d as (select doc_id, text from documents where doc_id is not null a
 
 P8_SHARED = f"select documents.doc_id as doc_id, coalesce(sum(span_end - span_start), 0)::bigint as n_shared from documents left join ({P8}) x on documents.doc_id = x.doc_id group by documents.doc_id"
 
-SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p8_found": P8, "p8_shared": P8_SHARED}
+SQL = {
+    "p1_found": P1, "p1_needs": P1_NEEDS, "p2_classes": P2_CLASSES, "p2_found": P2, "p2_groups": P2_GROUPS, "p3_collapsed": P3_COLLAPSED, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p5_report": P5_REPORT,
+    "p8_found": P8, "p8_shared": P8_SHARED,
+}

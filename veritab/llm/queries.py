@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritab.llm import copies, encode, frozen, neardup, oracles, overlap, packing, paragraphs, proportions, spans
 from veritab.session import written
@@ -23,6 +23,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportions.plan(*_proportions(spark, sf_dir)).where("unmet").select("config_id", "label")
 
 
+def p1_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supply and need of each config and label, and whether the sample stays short of it."""
+    return proportions.plan(*_proportions(spark, sf_dir)).select("config_id", "label", "supply", F.round("need", 6).alias("need"), "unmet")
+
+
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supply, need and number drawn of each config and label."""
     return proportions.plan(*_proportions(spark, sf_dir))
@@ -134,7 +139,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_classes, p2_found, p2_groups, p3_collapsed, p3_found, p4_found, p4_sample, p5_found, p5_links, p5_report, p5_rows, p6_ids, p7_containers, p7_evolution, p7_found, p8_found, p8_paragraphs, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_needs, p1_report, p1_sample, p2_classes, p2_found, p2_groups, p3_collapsed, p3_found, p4_found, p4_sample, p5_found, p5_links, p5_report, p5_rows, p6_ids, p7_containers, p7_evolution, p7_found, p8_found, p8_paragraphs, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
