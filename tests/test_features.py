@@ -97,6 +97,11 @@ def test_digests(spark):
     df = spark.createDataFrame([(i, "x", r.tolist()) for i, r in enumerate(z)], "pos bigint, s string, z array<float>")
     own = hashlib.sha256(b"<f4\0(7, 4)\0" + z.tobytes()).hexdigest()
     assert tuple(digests.array_digest(df.repartition(3), ["s"]).first()) == ("x", 7, own)
+    # larger arrays: the digests of chunks in order
+    z = np.array([r["z"] for r in df.orderBy("pos").collect()], "<f4")
+    parts = "".join(hashlib.sha256(z[i : i + 3].tobytes()).hexdigest() for i in (0, 3, 6))
+    chunked = hashlib.sha256(f"<f4\0(7, 4)\0{parts}".encode()).hexdigest()
+    assert tuple(digests.array_digest(df.repartition(3), ["s"], chunk=3).first()) == ("x", 7, chunked)
     assert digests.canonical_json({"b": 1, "a": "é"}) == '{"a":"\\u00e9","b":1}' == json.dumps({"a": "é", "b": 1}, separators=(",", ":"))
 
 

@@ -15,7 +15,7 @@ from veritab.functions.text import inference_messages, render_chat, training_mes
 from veritab.operators import compare, splits
 from veritab.plans import audit, card, protocol
 from veritab.session import local_session, written
-from veritab.sources.corpus import Bundle, load_bundle
+from veritab.sources.corpus import PUBLISHED_ROWS, Bundle, load_bundle
 from veritab.sources.reports import read_json, write_json
 from veritab.sources.scorer import code_ids, named, prompt_ids, score
 
@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--root", default=".", help="folder of reports and scores")
     p.add_argument("--train", help="parquet of the publisher's training rows")
     p.add_argument("--test", help="parquet of the publisher's test rows")
-    p.add_argument("--publisher-rows", type=int, help="refuse another number of training rows")
+    p.add_argument("--publisher-rows", type=int, default=PUBLISHED_ROWS, help="refuse another number of training rows")
     p.add_argument("--tokenizer", help="module:attribute, or the JSON file of a public tokenizer")
     commands = p.add_subparsers(dest="command", required=True)
     commands.add_parser("write-config")
