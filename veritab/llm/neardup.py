@@ -2,7 +2,7 @@
 
 Copies are folded into classes first.  Each class emits one record for each band;
 records are packed into binary chunks, one for each batch and target partition, so
-the shuffle carries 8 bytes a record.  Bands that a fixed part of the classes
+the shuffle carries 6 bytes a record.  Bands that a fixed part of the classes
 shows to be crowded, and any bucket of more than CROWD classes, go another, exact
 way: a prefix filter on the n-gram sets with its groups cut into blocks.
 """
@@ -135,7 +135,7 @@ def _fit(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> np.ndarra
 
 
 def _packed(bands: int, rows: int, n: int, parts: int, hot: np.ndarray):
-    """Chunks (part, ids, sizes, records): a record is 48 bits of the band's hash and the 16-bit place in ids."""
+    """Chunks (part, ids, sizes, keys, places): of each record 32 bits of the band's hash, behind those that chose the part, and its 16-bit place in ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +150,7 @@ def _packed(bands: int, rows: int, n: int, parts: int, hot: np.ndarray):
                 keys = keys[cold]
                 part = ((keys & _U64(0xFFFF)) * _U64(parts) >> _U64(16)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                keys, place = keys[order] & ~_U64(0xFFFF), place[order]
+                keys, place = (keys[order] >> _U64(32)).astype(np.uint32), place[order]
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
                 out = []
                 for p, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -158,12 +158,12 @@ def _packed(bands: int, rows: int, n: int, parts: int, hot: np.ndarray):
                         # only the ids that this part needs
                         used = np.zeros(b - a, bool)
                         used[place[s:e]] = True
-                        at = (np.cumsum(used) - 1)[place[s:e]]
-                        out.append((p, np.diff(own[used], prepend=0).astype(np.int64).tobytes(), size[used].tobytes(), (keys[s:e] | at.astype(_U64)).tobytes()))
+                        at = (np.cumsum(used) - 1)[place[s:e]].astype(np.uint16)
+                        out.append((p, np.diff(own[used], prepend=0).astype(np.int64).tobytes(), size[used].tobytes(), keys[s:e].tobytes(), at.tobytes()))
                 if crowded.any():
                     # the members of crowded bands, spread over the parts
-                    out.append((int(own[0]) % parts, own[crowded.any(0)].tobytes(), None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "ids", "sizes", "records"])
+                    out.append((int(own[0]) % parts, own[crowded.any(0)].tobytes(), None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["part", "ids", "sizes", "keys", "places"])
 
     return run
 
@@ -178,13 +178,12 @@ def _pairs(similarity: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, sizes = [], [], []
         for batch in batches:
-            for own, size, records in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-                if records is None:
+            for own, size, key, place in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4))):
+                if key is None:
                     yield out(np.frombuffer(own, np.int64), None)
                     continue
-                raw = np.frombuffer(records, _U64)
-                at = (raw & _U64(0xFFFF)).astype(np.int64)
-                keys.append(raw >> _U64(16))
+                at = np.frombuffer(place, np.uint16)
+                keys.append(np.frombuffer(key, np.uint32))
                 ids.append(np.cumsum(np.frombuffer(own, np.int64))[at])
                 sizes.append(np.frombuffer(size, np.uint16)[at])
         if not keys:
@@ -346,7 +345,7 @@ def class_pairs(records: DataFrame, similarity: tuple[int, int] = SIMILARITY, n:
     least = max(HOT, sampled.count() / (4 * parts))
     hot = np.array([r.band for r in sampled.groupBy("band").count().where(F.col("count") >= least).select("band").collect()], np.int64).view(_U64)
 
-    chunks = texts.mapInArrow(_packed(bands, rows, n, parts, hot), "part int, ids binary, sizes binary, records binary")
+    chunks = texts.mapInArrow(_packed(bands, rows, n, parts, hot), "part int, ids binary, sizes binary, keys binary, places binary")
     out = written(chunks.repartitionById(parts, "part").mapInArrow(_pairs(similarity), "a bigint, b bigint"), "near-candidates")
     candidates = out.where("b is not null")
     crowded = out.where("b is null").select(F.col("a").alias("id")).distinct()
