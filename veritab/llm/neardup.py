@@ -374,7 +374,7 @@ def near_pairs(records: DataFrame) -> DataFrame:
     members of a class of many copies are spread over tasks.
     """
     pairs, members = class_pairs(records)
-    members = members.distinct()
+    members = written(members.distinct(), "near-members")
     hot = hot_keys(members, "class")
     rows = pairs
     for side, name in (("class_a", "x"), ("class_b", "y")):
@@ -392,7 +392,7 @@ def near_classes(records: DataFrame) -> DataFrame:
     once for each class it is in.
     """
     pairs, members = class_pairs(records)
-    members = members.distinct()
+    members = written(members.distinct(), "near-members")
     links = pairs.select(F.col("class_a").alias("class")).unionAll(pairs.select(F.col("class_b").alias("class"))).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     classes = members.groupBy("class").agg(F.min("row_id").alias("class_row_id")).join(links, "class", "left")
     out = by_key(members, classes, "class", hot_keys(members, "class"), F.xxhash64("row_id"))
@@ -406,7 +406,7 @@ def near_groups(records: DataFrame) -> DataFrame:
     record delivered with several texts may be in several groups.
     """
     pairs, members = class_pairs(records)
-    members = members.distinct()
+    members = written(members.distinct(), "near-members")
     found = components(pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).withColumnRenamed("node", "class")
     least = members.groupBy("class").agg(F.min("row_id").alias("least")).join(found, "class")
     named = least.groupBy("component").agg(F.min("least").alias("group"))
