@@ -15,7 +15,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from veritab.llm import neardup
-from veritab.llm.groups import components
+from veritab.llm.groups import by_key, components, hot_keys
+from veritab.session import written
 
 #: Fewer bands than for a lower similarity give the same recall: 18 of 5 rows.
 MOST_BANDS = 20
@@ -56,11 +57,16 @@ def duplicate_paragraphs(documents: DataFrame) -> DataFrame:
     """
     pairs, members = neardup.class_pairs(paragraphs(documents).select("row_id", "text"), SIMILARITY, WORDS, copies=True, most_bands=MOST_BANDS)
     found = components(pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
-    classed = members.distinct().join(found.withColumnRenamed("node", "class"), "class", "left").select("row_id", F.coalesce("component", "class").alias("class"))
     # a paragraph's name holds its place, so the texts needn't be joined again
     part = F.split("row_id", ":")
-    placed = classed.select("class", part[0].cast("bigint").alias("doc_id"), part[1].cast("int").alias("start"), part[2].cast("int").alias("stop"))
-    first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = members.distinct().select("class", "row_id", part[0].cast("bigint").alias("doc_id"), part[1].cast("int").alias("start"), part[2].cast("int").alias("stop"))
+    placed = written(placed, "paragraph-members")
+    # components are told by class; only then are they joined to rows, those of a hot class spread over tasks
+    classes = placed.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    whole = classes.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("component", "first")
+    named = classes.select("class", "component").join(whole, "component").select("class", "first")
+    rows = by_key(placed, named, "class", hot_keys(placed, "class"), F.xxhash64("row_id"))
     name = F.concat_ws(":", F.col("first.doc_id"), F.col("first.start"))
     removed = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.start") != F.col("start"))
-    return placed.join(first, "class").select("doc_id", "start", "stop", name.alias("component"), removed.alias("removed"))
+    return rows.select("doc_id", "start", "stop", name.alias("component"), removed.alias("removed"))
