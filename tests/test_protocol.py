@@ -381,9 +381,9 @@ def test_commands(spark, tmp_path, capsys):
     for command in (["final-test", "--confirm", protocol.CONFIRMATION], ["validation-baseline", "--output", str(tmp_path / "b.json")]):
         with pytest.raises(SystemExit, match="--base"):
             cli.main([*base, *stand_in, *command])
-    cli.main([*base, *stand_in, "validation-baseline", "--base", "veritab.sources.scorer:hash_scorer", "--output", str(tmp_path / "b.json")])
-    baseline = reports.read_json(tmp_path / "b.json")
-    assert baseline["scorer"] == "veritab.sources.scorer:hash_scorer" and baseline["metrics_before_temperature"]["rows"] == 8
+    # scores that have nothing to do with the labels have no temperature between the bounds
+    with pytest.raises(ValueError, match="search ended"):
+        cli.main([*base, *stand_in, "validation-baseline", "--base", "veritab.sources.scorer:hash_scorer", "--output", str(tmp_path / "b.json")])
     with pytest.raises(ValueError, match="80 rows instead of 120000"):
         cli.main([*base[:-2], "data-stats", "--output", str(tmp_path / "stats.json")])
     for name, r in (("a", report()), ("b", report(4))):
