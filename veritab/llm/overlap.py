@@ -28,7 +28,7 @@ from veritab.llm.textindex import Filter, WordIndex
 from veritab.session import new_path, written
 
 TRAIN, JUDGED = "train", ("validation", "test")
-#: Words of a shard.  Loaded it takes some 6 bytes a word; building it takes about 60.
+#: Words of a shard.  Loaded it takes some 6 bytes a word, but building it takes many times that.
 SHARD_WORDS = 1_000_000
 #: Words of training texts that pass through the shards together.
 SWEEP_WORDS = 2_000_000
