@@ -127,6 +127,15 @@ def test_lost_members(spark):
     assert frozen.lost_members(df, make(spark, known).limit(0)).count() == 0
 
 
+def test_no_draw_decides_which_losses_are_found(spark, monkeypatch):
+    drawing = frozen.bottom_of_batches
+    monkeypatch.setattr(frozen, "bottom_of_batches", lambda rows, groups, rate, hashed, tie: drawing(rows, groups, frozen.RATE, hashed, tie))
+    known = example([(f"id{k:02d}", "t", 0, k, "r", 1) for k in range(60)])
+    members = [(1, 1, 7, f"id{k:02d}", k) for k in range(60)] + [(1, 2, 7, "gone", 99)]
+    df = spark.createDataFrame(members, "config_id bigint, release_no int, seed int, row_id string, source_index bigint")
+    assert sorted(tuple(r) for r in frozen.lost_members(df, make(spark, known)).collect()) == [(1, 2, f"id{k:02d}") for k in range(60)]
+
+
 def test_the_frozen_sample_never_loses_a_member(spark):
     rows = records(1500, 4, days=120)
     held = spark.createDataFrame([(1, 73, "big"), (2, 5, "small")], "config_id bigint, seed int, dataset_revision string")

@@ -154,14 +154,15 @@ def release(records: DataFrame, configs: DataFrame, ledger: str, closed_at: str,
 def lost_members(members: DataFrame, records: DataFrame) -> DataFrame:
     """(config_id, release_no, row_id): members of an earlier release that this one lost.
 
-    The frozen sample of the same arrivals, compared with what was drawn: what each
-    release had first is an immutable batch, of which the sample keeps all (rate 1),
-    and the union of the batches up to a release is what it should hold.  A sample
-    that only grows gives no row.  A member is its cleaned row_id or, where that
-    is null, the record with its source_index; members whose record is gone and
-    repeated rows don't count.  Releases are those of the same config and seed
-    with any row at all, so a release whose members are all gone loses every
-    earlier member.  Null config, release or seed belong to no release.
+    What each release had first is an immutable batch, and the union of the batches
+    up to a release is what it should hold.  Every member counts, so nothing is
+    drawn here: a share below 1 of a batch can leave lost members out, and a
+    share of 1 is the batch itself.  A sample that only grows, as the frozen one,
+    gives no row.  A member is its cleaned row_id or, where that is null, the
+    record with its source_index; members whose record is gone and repeated rows
+    don't count.  Releases are those of the same config and seed with any row at
+    all, so a release whose members are all gone loses every earlier member.  Null
+    config, release or seed belong to no release.
     """
     members = members.where(F.col("config_id").isNotNull() & F.col("release_no").isNotNull() & F.col("seed").isNotNull())
     members = members.select("config_id", "seed", "release_no", clean_id(F.col("row_id")).alias("id"), "source_index")
@@ -172,10 +173,8 @@ def lost_members(members: DataFrame, records: DataFrame) -> DataFrame:
         members.where(F.col("id").isNotNull()).drop("source_index").join(by_id, "id").select("config_id", "seed", "release_no", "row_id")
         .unionByName(members.where(F.col("id").isNull()).join(by_index, "source_index").select("config_id", "seed", "release_no", "row_id"))
     )
-    # the batch of a member is the release that first has it; frozen, it belongs to all later ones
+    # the batch of a member is the release that first has it; it belongs to all later ones
     held = present.groupBy("config_id", "seed", "row_id").agg(F.collect_set("release_no").alias("drawn")).withColumn("batch", F.array_min("drawn"))
-    hashed = unit_hash(F.col("seed").cast("long"), F.lit("frozen"), F.col("row_id"))
-    frozen = bottom_of_batches(written(held, "frozen-members"), ["config_id", "seed", "batch"], 1.0, hashed, "row_id")
     releases = members.groupBy("config_id", "seed").agg(F.collect_set("release_no").alias("releases"))
     later = F.filter(F.array_except("releases", "drawn"), lambda r: r > F.col("batch"))
-    return frozen.join(releases, ["config_id", "seed"]).select("config_id", F.explode(later).alias("release_no"), "row_id")
+    return held.join(releases, ["config_id", "seed"]).select("config_id", F.explode(later).alias("release_no"), "row_id")
